@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,8 +86,7 @@ def ranked_sums(df: DataFrame, groups: list[str], key: str, value: str, out: str
     """Exclusive running sum of ``value`` within ``groups`` in the order of ``key``, a well-mixed 64-bit number.
 
     The order is cut into 2**chunk_bits equal ranges of the key, so that no window holds more than a few
-    thousandths of a group: sums of ranges are added up first, then rows within each range.  Ties of the
-    key are broken by the columns of ``df`` named in ``tie``-like order by the caller inside ``key``.
+    thousandths of a group: sums of ranges are added up first, then rows within each range.
     """
     from pyspark.sql import Window as W
 
@@ -140,7 +140,7 @@ def connected_components(ws: Workspace, edges: DataFrame, max_rounds: int = 60)
 def in_batches(table: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices that hold about ``most`` bytes of ``column`` (one row at least)."""
     for batch in table:
-        size = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        size = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         if not len(size):
             continue
         block = np.cumsum(size.astype(np.int64)) // most
@@ -153,7 +153,7 @@ def in_batches(table: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column as one array, and each row's offsets in it; null is empty."""
     if column.null_count:
-        column = pa.compute.fill_null(column, b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
+        column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
