@@ -7,8 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash, substring_dedup, suffix_dedup
-from .common import documents
+from . import bpe, exact_dedup, simhash, substring_dedup, suffix_dedup, token_files
+from .common import Workspace, documents
+
+
+def tokenizer_path() -> str:
+    """The tokenizer file that the contracts name; elsewhere pass another path to the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +33,24 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op6_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Workspace(spark, 'tokens').path}/ids"
+    token_files.write_parquet(documents(spark, sf_dir), path, tokenizer_path())
+    return token_files.checksums(spark, path)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document (with the end id 49407), counted in flat files that hold ids alone."""
+    ws = Workspace(spark, "flat")
+    folder, manifest = token_files.write_flat(ws, documents(spark, sf_dir), tokenizer_path(), 49407)
+    counts = token_files.scan_separators(ws, folder, manifest.select("file").distinct(), 49407)
+    return manifest.join(counts, ["file", "doc_no"]).select("doc_id", "n_tokens")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(documents(spark, sf_dir), tokenizer_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_groups(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -35,6 +60,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op6_token_parquet": op6_token_parquet,
+    "op7_token_counts": op7_token_counts,
+    "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
 }
 
