@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import exact_dedup, simhash
+from gleaner.llm import bpe, exact_dedup, mixing, quality, simhash
 from gleaner.llm.common import Workspace
+from gleaner.llm.queries import tokenizer_path
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.keep_good(docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,9 +24,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.keep_one(docs)
 
 
-STAGES = [("exact dedup", drop_copies), ("near dedup", drop_near_copies)]
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, none of them or up to three times."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each whole text, and a digest of what they decode to."""
+    return bpe.encode_decode(docs, tokenizer_path(), ("n_tokens", "ids", "decoded_sha256"), ("doc_id", "lang", "source"))
+
+
+STAGES = [("quality rules", drop_poor), ("exact dedup", drop_copies), ("near dedup", drop_near_copies), ("mixing", mix_sources), ("encoding", encode)]
 
-#: Sampling and tokenising cannot be put in SQL; tests hold the stages against brute force.
+#: Seeded draws and tokenising cannot be put in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, simhash, substring_dedup, suffix_dedup, token_files
+from . import bpe, exact_dedup, mixing, quality, sharding, simhash, substring_dedup, suffix_dedup, token_files
 from .common import Workspace, documents
 
 
@@ -23,6 +23,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeats(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -33,6 +37,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op5_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_rows(documents(spark, sf_dir))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Workspace(spark, 'tokens').path}/ids"
     token_files.write_parquet(documents(spark, sf_dir), path, tokenizer_path())
@@ -47,6 +56,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.join(counts, ["file", "doc_no"]).select("doc_id", "n_tokens")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.plan(documents(spark, sf_dir))
+    return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), tokenizer_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -58,10 +72,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_quality": op2_quality,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_feistel_sharding": op5_feistel_sharding,
     "op6_token_parquet": op6_token_parquet,
     "op7_token_counts": op7_token_counts,
+    "op8_mixing": op8_mixing,
     "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
 }
