@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import binary_list, in_batches
+from .common import binary_list, in_batches, small_batches
 
 #: Words whose results a worker keeps; judged pairs it keeps.
 CACHED_WORDS, CACHED_PAIRS = 250_000, 2_000_000
@@ -227,5 +227,6 @@ def _encode(path: str, columns: tuple[str, ...], kept: tuple[str, ...]):
 
 def encode_decode(docs: DataFrame, path: str, columns: tuple[str, ...] = ("n_tokens", "ids", "decoded"), kept: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``kept`` columns of ``docs`` and the asked ones of COLUMNS: ids of each whole text and what they decode to."""
+    small_batches(docs.sparkSession)
     schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept], *[f"{c} {COLUMNS[c]}" for c in columns]])
     return docs.select(*dict.fromkeys([*kept, "text"])).mapInArrow(_encode(path, columns, kept), schema)

@@ -29,11 +29,18 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers a few megabytes at a time, however many rows that is."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 class Workspace:
     """Tables written to the shared folder: they cut lineage and outlive any executor."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str, **options) -> DataFrame:

@@ -29,6 +29,9 @@ from .common import Workspace, ranked_sums
 
 WEIGHTS, REPEATS, SEED = (1, 2, 3), 3, 42
 BLOCK_WORDS, SHARD_WORDS, MIN_SHARDS = 100_000, 8_000_000, 16
+#: Documents that top up a source at most, nearest size first; each takes up most of what is missing.
+TOPS = 6
+TOP = "top_source string, top_key long, top_id long, top_tie long"
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], repeats: float = REPEATS) -> list[float]:
@@ -91,21 +94,27 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = REP
         .withColumn("extra", (F.col("rest") > 0) & (F.col("before") + F.col("size") <= F.col("rest"))), "drawn")
     ended = drawn.groupBy("source").agg(F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0)).alias("words"), (F.max(F.when(F.col("extra"), F.col("block"))) + 1).alias("n"))
     ended = {r.source: (r.words, r.n or 0) for r in ended.collect()}  # one row for each source
-    gaps = ws.spark.createDataFrame([(r.source, max(0.0, (t - p * r["size"]) - ended[r.source][0])) for r, t, p in zip(found, goal, passes)], "of string, gap double")
-    misses = F.struct(F.abs(F.col("gap") - F.col("size")).alias("miss"), "key", "doc_id", "tie")
-    topped = drawn.where("not extra").join(F.broadcast(gaps), F.col("source").eqNullSafe(F.col("of"))).where("abs(gap - size) < gap").groupBy("source").agg(F.min(misses).alias("top")).collect()
-    tops = {r.source: r.top for r in topped}
-    used = {r.source: max(ended[r.source][1], int(r.source in tops)) for r in found}
+    gap = {r.source: max(0.0, t - p * r["size"] - ended[r.source][0]) for r, t, p in zip(found, goal, passes)}
+    tops: list[tuple] = []  # at most TOPS documents for each source
+    for step in range(TOPS):
+        gaps = ws.spark.createDataFrame(list(gap.items()), "of string, gap double")
+        left = drawn.where("not extra and size > 0").join(F.broadcast(gaps), F.col("source").eqNullSafe(F.col("of"))).where("size <= gap" if step < TOPS - 1 else "abs(gap - size) < gap")  # the last may go over, if that is nearer
+        if tops:
+            left = left.join(F.broadcast(ws.spark.createDataFrame(tops, TOP).drop("top_source")), F.col("key") == F.col("top_key"), "left_anti")
+        nearest = F.struct(F.abs(F.col("gap") - F.col("size")).alias("miss"), "key", "doc_id", "tie", "size")
+        new = left.groupBy("source").agg(F.min(nearest).alias("top")).collect()
+        tops += [(r.source, r.top.key, r.top.doc_id, r.top.tie) for r in new]
+        for r in new:
+            gap[r.source] = max(0.0, gap[r.source] - r.top["size"])
+    topped = {t[0] for t in tops}
+    used = {r.source: max(ended[r.source][1], int(r.source in topped)) for r in found}
     quotas = np.array([p * b + used[r.source] for r, p, b in zip(found, passes, blocks)], np.int64)
     many = shards or max(MIN_SHARDS, -(-sum(sizes) // SHARD_WORDS))
     ends = np.cumsum(split_quotas(quotas, many, seed), axis=0) if len(found) else np.zeros((many, 0), np.int64)
-    top = lambda s, k: tops[s][k] if s in tops else None
-    cuts = ws.spark.createDataFrame(
-        [(r.source, ends[:, i].tolist(), used[r.source] - 1, top(r.source, "key"), top(r.source, "doc_id"), top(r.source, "tie"), r.source in tops) for i, r in enumerate(found)],
-        "of string, ends array<long>, final long, top_key long, top_id long, top_tie long, tops boolean")
+    cuts = ws.spark.createDataFrame([(r.source, ends[:, i].tolist(), used[r.source] - 1) for i, r in enumerate(found)], "of string, ends array<long>, final long")
     dealt = drawn.join(F.broadcast(cuts), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    tops_up = F.col("tops") & (F.col("key") == F.col("top_key")) & F.col("doc_id").eqNullSafe(F.col("top_id")) & (F.col("tie") == F.col("top_tie"))
-    dealt = dealt.withColumn("extra", F.col("extra") | tops_up)
+    own_top = F.col("key").eqNullSafe(F.col("top_key")) & F.col("source").eqNullSafe(F.col("top_source")) & F.col("doc_id").eqNullSafe(F.col("top_id")) & (F.col("tie") == F.col("top_tie"))
+    dealt = dealt.join(F.broadcast(ws.spark.createDataFrame(tops, TOP).distinct()), own_top, "left").withColumn("extra", F.col("extra") | F.col("top_key").isNotNull())
     times = F.col("passes") + F.col("extra").cast("int")
     numbers = F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(F.expr("cast(array() as array<int>)"))
 

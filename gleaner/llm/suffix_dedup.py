@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import Workspace, binary_list, in_batches
 from .windows import LAST, Alphabet, cover, numbered, repeated_spans
 
-LENGTH, GRAM = 400, 32
-SHARD_BYTES = 1 << 19
+LENGTH, GRAM = 400, 145
+SHARD_BYTES = 1 << 16
 
 
 class RunLengthBWT:
@@ -52,36 +52,37 @@ class RunLengthBWT:
         begin = np.r_[0, turn]
         self.heads, self.lengths = bwt[begin], np.diff(np.r_[begin, n])
         self.first, self.last = sa[begin], sa[np.r_[turn, n] - 1]
-        self.before = np.r_[0, self._common(ranks, steps, sa[turn - 1], sa[turn])]
+        self.before = np.r_[0, self._common(sym, ranks, steps, sa[turn - 1], sa[turn])]
         self.after = np.r_[self.before[1:], 0]
 
     @staticmethod
     def _ranks(sym: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
-        """Ranks of all suffixes by their first 1, 2, 4 and so on symbols, until they differ."""
-        n = len(sym)
-        _, rank = np.unique(sym, return_inverse=True)
-        ranks, steps = [rank.astype(np.int64)], [1]
+        """Ranks of all suffixes by their first m, 2m, 4m and so on symbols, m as many as a number holds, until they differ."""
+        n, width = len(sym), int(sym.max() + 1).bit_length()
+        step = 62 // width
+        both = np.zeros(n, np.int64)
+        for i in range(step):  # past the end counts as less than any symbol
+            both[: n - i] |= (sym[i:] + 1) << (width * (step - 1 - i))
+        ranks, steps = [], []
         while True:
-            rank, step = ranks[-1], steps[-1]
-            second = np.zeros(n, np.int64)
-            second[: n - step] = rank[step:] + 1
-            both = rank * (n + 1) + second
             order = np.argsort(both)
             in_order = both[order]
             new = np.empty(n, np.int64)
             new[order] = np.cumsum(np.r_[0, in_order[1:] != in_order[:-1]])
             ranks.append(new)
-            steps.append(step * 2)
+            steps.append(step)
             if new[order[-1]] == n - 1:
                 return ranks, steps
+            both = new * (n + 1)
+            both[: n - step] += new[step:] + 1
+            step *= 2
 
     @staticmethod
-    def _common(ranks: list[np.ndarray], steps: list[int], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def _common(sym: np.ndarray, ranks: list[np.ndarray], steps: list[int], a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The longest common prefix of suffixes a[i] and b[i], by the ranks of their first symbols."""
-        a, b, out, n = a.copy(), b.copy(), np.zeros(len(a), np.int64), len(ranks[0])
-        for rank, step in zip(ranks[-2::-1], steps[-2::-1]):
-            inside = (a < n) & (b < n)
-            same = inside & (rank[np.minimum(a, n - 1)] == rank[np.minimum(b, n - 1)])
+        a, b, out, n = a.copy(), b.copy(), np.zeros(len(a), np.int64), len(sym)
+        for rank, step in [*zip(ranks[-2::-1], steps[-2::-1]), *[(sym, 1)] * (steps[0] - 1)]:
+            same = (a < n) & (b < n) & (rank[np.minimum(a, n - 1)] == rank[np.minimum(b, n - 1)])
             out, a, b = out + same * step, a + same * step, b + same * step
         return out
 

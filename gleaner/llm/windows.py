@@ -8,7 +8,7 @@ by their anchor's hash:
 1. ``parts`` are cut from every text by vectorised rolling hashes; parts whose anchor occurs once are dropped.
 2. The others' texts (*contents*) are gathered by anchor, copies merged before the shuffle.
 3. An index of the caller's kind is built over each shard of whole anchor groups and tells which symbols of each
-   content are covered by a repeated window.
+   content are covered by a window that another content has; a content that itself occurs twice is covered whole.
 4. A group of over GROUP contents (a common phrase in many contexts) is first cut finer: its windows are
    split by the anchor's place in the window, and each quarter meets by the hash of all that its windows share.
    At the last step a quarter is one window, so equal parts are one content and no group stays large.
@@ -238,8 +238,13 @@ def _index(abc: Alphabet, index: Index, shard_bytes: int):
     def run(groups: dict[tuple[int, bytes], list]) -> pa.RecordBatch:
         items = list(groups.values())
         contents = [x[2] for x in items]
-        spans = index(contents, np.array([x[0] for x in items], np.int64), np.array([x[1] for x in items], np.int64))
         key, digest = zip(*groups)
+        several = [i for i, x in enumerate(key) if x in key[i - 1 : i] or x in key[i + 1 : i + 2]]  # a content alone has nothing to match
+        spans: list = [()] * len(items)
+        if several:
+            found = index([contents[i] for i in several], *(np.array([items[i][k] for i in several], np.int64) for k in (0, 1)))
+            for i, s in zip(several, found):
+                spans[i] = s
         return pa.RecordBatch.from_arrays([
             pa.array(key, pa.int64()), pa.array(digest, pa.binary()), pa.array([x[0] for x in items], pa.int64()), pa.array([x[1] for x in items], pa.int64()),
             pa.array([abc.length(c) for c in contents], pa.int32()), pa.array([[{"a": int(a), "b": int(b)} for a, b in s] for s in spans], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
