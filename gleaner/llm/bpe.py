@@ -8,8 +8,8 @@ pair of its pieces is the encoding of the two pieces' text (Berglund and van der
   that isn't there yet is judged once, by merging its own text, and stays there.
 * *Merge.*  Only words with a pair that fails go through exact merging by rank.
 
-Texts are cut at ASCII white space, which this kind of tokenizer drops, so each distinct word is done once and a
-text's ids are its words' ids in a row.  Words of other than printable ASCII go through the tokenizer file's own
+Texts are cut into pre-tokens or, where they are not plain, at ASCII white space, which this kind of tokenizer drops
+(see pieces.py); each distinct string is done once and a text's ids are theirs in a row.  Words of other than printable ASCII go through the tokenizer file's own
 normaliser and pre-tokenizer; special tokens are found in the raw text, as the library does.
 
 Cases: null text is empty and has no ids; words that are all (non-ASCII) white space have none either; very long words
@@ -30,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import binary_list, in_batches, small_batches
+from .pieces import cut
 
 #: Words whose results a worker keeps; judged pairs it keeps.
-CACHED_WORDS, CACHED_PAIRS = 250_000, 2_000_000
+CACHED_WORDS, CACHED_PAIRS = 400_000, 2_000_000
 #: Stands for the end-of-word suffix inside pieces; no byte is mapped to it.
 END = "\ue000"
 _ASCII = re.compile(rb"[!-~]+")
@@ -165,23 +166,23 @@ class BPE:
     def learn(self, words: Iterable[bytes]) -> None:
         """Put the words' ids (little-endian, decimal) and decoded text into the cache."""
         words = list(words)
-        cut = [self._marked(w) for w in words]
-        marked = list({p for c in cut for p in c if isinstance(p, str)})
+        parts = [self._marked(w) for w in words]
+        marked = list({p for c in parts for p in c if isinstance(p, str)})
         ids = dict(zip(marked, self.encode_marked(marked)[0]))
         texts = self.texts
-        for word, c in zip(words, cut):
+        for word, c in zip(words, parts):
             own = [i for p in c for i in (ids[p] if isinstance(p, str) else (p,))]
             self.cache[word] = struct.pack(f"<{len(own)}I", *own), " ".join(map(str, own)).encode(), " ".join([texts[i] for i in own]).encode()
 
     def words(self, texts: list[bytes]) -> list[list[bytes]]:
-        """Each text's words, all of them in the cache."""
-        cut = [t.split() for t in texts]
-        new = set().union(*cut) - self.cache.keys()
+        """Each text's pre-tokens or words, all of them in the cache."""
+        found = [cut(t) for t in texts]
+        new = set().union(*found) - self.cache.keys()
         if len(self.cache) + len(new) > CACHED_WORDS:
             self.reset()
-            new = set().union(*cut)
+            new = set().union(*found)
         self.learn(new)
-        return cut
+        return found
 
 
 @cache

@@ -28,20 +28,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import Workspace, binary_list, in_batches, parallelism
+from .pieces import LETTERS, cut
 
 END_ID = 2
-CACHED_WORDS = 400_000
+#: Strings whose ids a worker keeps, at some 200 bytes each.
+CACHED_WORDS = 700_000
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2000
 #: Bytes of a flat file that one scan step reads.
 BLOCK_BYTES = 4 << 20
-_LETTERS = re.compile(rb"[A-Za-z]+")
 
 
 class WordEncoder:
-    """Whole texts through the tokenizers library, each distinct word once.
+    """Whole texts through the tokenizers library, each distinct pre-token once.
 
-    Only for tokenizers that drop white space: there a text's ids are its words' ids in a row.  Plain letters
-    are single pre-tokens, so many such words go through one call and are told apart by end-of-word ids.
+    Only for tokenizers that lower-case and drop white space: there a text's ids are its pre-tokens' ids in a
+    row (see pieces.py).  Those of letters go through many to a call and are told apart by end-of-word ids.
     """
 
     def __init__(self, path: str):
@@ -55,32 +56,38 @@ class WordEncoder:
             self.ends[i] = text.endswith("</w>")
         self.cache: dict[bytes, bytes] = {}
 
-    def learn(self, words: set[bytes]) -> None:
-        plain = [w for w in words if _LETTERS.fullmatch(w)]
-        for a in range(0, len(plain), 5000):
-            some = plain[a : a + 5000]
-            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, np.uint32)
-            cuts = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
+    def learn(self, strings: set[bytes]) -> None:
+        plain = [w for w in strings if LETTERS.fullmatch(w)]
+        self.cache |= self._plain(plain)
+        self.cache |= self._alone(list(strings.difference(plain)))
+
+    def _plain(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Words of letters alone: a pre-token each, many to a call."""
+        out: dict[bytes, bytes] = {}
+        for a in range(0, len(words), 2000):
+            some = words[a : a + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
             if len(cuts) != len(some) + 1:
                 raise ValueError("the tokenizer splits plain words")
             raw = ids.tobytes()
-            self.cache.update(zip(some, [raw[4 * i : 4 * j] for i, j in zip(cuts, cuts[1:])]))
-        rest = list(words - self.cache.keys())
-        for a in range(0, len(rest), 5000):
-            some = rest[a : a + 5000]
-            for w, e in zip(some, self.tokenizer.encode_batch([x.decode("utf-8", "replace") for x in some], add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, np.uint32).tobytes()
+            out.update(zip(some, [raw[i:j] for i, j in zip(cuts, cuts[1:])]))
+        return out
+
+    def _alone(self, words: list[bytes]) -> dict[bytes, bytes]:
+        found = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in words], add_special_tokens=False)
+        return {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(words, found)}
 
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
         """Each text's ids and ``end``, as little-endian uint32."""
-        cut = [t.split() for t in texts]
-        new = set().union(*cut) - self.cache.keys()
+        found = [cut(t) for t in texts]
+        new = set().union(*found) - self.cache.keys()
         if len(self.cache) + len(new) > CACHED_WORDS:
             self.cache.clear()
-            new = set().union(*cut)
+            new = set().union(*found)
         self.learn(new)
         get = self.cache.__getitem__
-        return [b"".join([*map(get, words), end]) for words in cut]
+        return [b"".join([*map(get, x), end]) for x in found]
 
 
 @cache
