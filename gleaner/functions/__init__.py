@@ -1 +1 @@
-
+"""Column expressions: all built-in functions, evaluated in the JVM."""
