@@ -212,13 +212,13 @@ def _emit_index(run: Run, shard: int, width: int) -> Iterator[pa.RecordBatch]:
 
 def build_index(ws: Workspace, digests: DataFrame, width: int = 32, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
     """The compacted index (shard, digest, keep_id, group_size) of (doc_id, digest) rows, one row a digest."""
-    shards = 4 * parallelism(ws.spark)
+    shards = parallelism(ws.spark)
     runs = ws.save(digests.select("doc_id", "digest").mapInArrow(_flush(memtable_rows, shards, width), RUNS), "runs")
     merged = (
         runs.repartition(shards, "shard").sortWithinPartitions("shard", "run", F.col("filter").isNull(), "digest")
         .mapInArrow(_compact(width), "shard int, digest binary, keep_id long, group_size long")
     )
-    index = ws.save(merged, "index", **{"parquet.bloom.filter.enabled#digest": "true"})
+    index = ws.save(merged, "index", **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"})
     ws.drop("runs")
     return index
 

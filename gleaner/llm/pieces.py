@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-#: Letters of ASCII and Latin-1, which no normaliser composes.
-_LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
-LETTERS = re.compile(_LETTERS)
-#: The contractions that such tokenizers split off; then runs of letters, single digits and runs of marks.
-_PIECES = re.compile(rb"(?i:'s|'t|'re|'ve|'m|'ll|'d)|" + _LETTERS + rb"|[0-9]|[!-/:-@\[-`{-~]+")
+#: What is not ASCII or a Latin-1 letter (which no normaliser composes): other lead bytes, and two signs.
+_OTHER = re.compile(rb"[\xc0-\xc2\xc4-\xff]|\xc3[\x97\xb7]")
+#: Runs of letters; the contractions that such tokenizers split off (fixed values); single digits; runs of marks.
+_PIECES = re.compile(rb"[a-z\x80-\xff]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[!-/:-@\[-`{-~]+")
+#: Letters of ASCII, in lower case, and of Latin-1.
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 _SPACES = b" \t\n\r\x0b\x0c"
 
 
@@ -18,7 +19,7 @@ def cut(text: bytes) -> list[bytes]:
     Either way the text's ids are the ids of these strings, each encoded alone, in a row.
     """
     low = text.lower()
-    if b"<|" not in low:
+    if b"<|" not in low and (low.isascii() or not _OTHER.search(low)):
         found = _PIECES.findall(low)
         if b"".join(found) == low.translate(None, _SPACES):
             return found

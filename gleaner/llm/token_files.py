@@ -17,9 +17,11 @@ one document marked as not ended.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -31,63 +33,60 @@ from .common import Workspace, binary_list, in_batches, parallelism
 from .pieces import LETTERS, cut
 
 END_ID = 2
-#: Strings whose ids a worker keeps, at some 200 bytes each.
-CACHED_WORDS = 700_000
+#: Strings whose ids a worker keeps, at some 150 bytes each.
+CACHED_WORDS = 1_000_000
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2000
 #: Bytes of a flat file that one scan step reads.
 BLOCK_BYTES = 4 << 20
 
 
-class WordEncoder:
-    """Whole texts through the tokenizers library, each distinct pre-token once.
+class WordEncoder(dict):
+    """Whole texts through the tokenizers library, each distinct pre-token once; maps one to its packed ids.
 
     Only for tokenizers that lower-case and drop white space: there a text's ids are its pre-tokens' ids in a
-    row (see pieces.py).  Those of letters go through many to a call and are told apart by end-of-word ids.
+    row (see pieces.py).
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        if [*self.tokenizer.encode("a \n b", add_special_tokens=False).ids] != [i for w in "ab" for i in self.tokenizer.encode(w, add_special_tokens=False).ids]:
-            raise ValueError("a tokenizer that drops white space is needed")
-        self.ends = np.zeros(max(self.tokenizer.get_vocab(True).values()) + 1, bool)
-        for text, i in self.tokenizer.get_vocab(False).items():
-            self.ends[i] = text.endswith("</w>")
-        self.cache: dict[bytes, bytes] = {}
-
-    def learn(self, strings: set[bytes]) -> None:
-        plain = [w for w in strings if LETTERS.fullmatch(w)]
-        self.cache |= self._plain(plain)
-        self.cache |= self._alone(list(strings.difference(plain)))
-
-    def _plain(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Words of letters alone: a pre-token each, many to a call."""
-        out: dict[bytes, bytes] = {}
-        for a in range(0, len(words), 2000):
-            some = words[a : a + 2000]
+        alone = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("ab", "cd", ".")]
+        if self.tokenizer.encode("AB \n cd.", add_special_tokens=False).ids != sum(alone, []):
+            raise ValueError("a tokenizer that lower-cases and drops white space is needed")
+        vocabulary = self.tokenizer.get_vocab(True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for text, i in vocabulary.items() if text.endswith("</w>")]] = True
+
+    def learn(self, pieces: set[bytes]) -> None:
+        """Pieces of letters are one pre-token each and go through many to a call, told apart by end-of-word ids."""
+        letters = [p for p in pieces if p.isalpha() or LETTERS.fullmatch(p)]
+        for a in range(0, len(letters), 2000):
+            some = letters[a : a + 2000]
             ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.uint32)
             cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
             if len(cuts) != len(some) + 1:
-                raise ValueError("the tokenizer splits plain words")
+                raise ValueError("the tokenizer splits letters")
             raw = ids.tobytes()
-            out.update(zip(some, [raw[i:j] for i, j in zip(cuts, cuts[1:])]))
-        return out
-
-    def _alone(self, words: list[bytes]) -> dict[bytes, bytes]:
-        found = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in words], add_special_tokens=False)
-        return {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(words, found)}
+            self.update(zip(some, [raw[i:j] for i, j in zip(cuts, cuts[1:])]))
+        rest = list(pieces.difference(letters))
+        found = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in rest], add_special_tokens=False)
+        self.update((p, struct.pack(f"<{len(e.ids)}I", *e.ids)) for p, e in zip(rest, found))
 
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
         """Each text's ids and ``end``, as little-endian uint32."""
-        found = [cut(t) for t in texts]
-        new = set().union(*found) - self.cache.keys()
-        if len(self.cache) + len(new) > CACHED_WORDS:
-            self.cache.clear()
-            new = set().union(*found)
-        self.learn(new)
-        get = self.cache.__getitem__
-        return [b"".join([*map(get, x), end]) for x in found]
+        out, get, known = [], self.__getitem__, self.__contains__
+        for a in range(0, len(texts), 64):
+            if len(self) > CACHED_WORDS:
+                self.clear()
+            found = [cut(t) for t in texts[a : a + 64]]
+            new: set[bytes] = set()
+            for x in found:
+                new.update(filterfalse(known, x))
+            self.learn(new)
+            out += [b"".join([*map(get, x), end]) for x in found]
+        return out
 
 
 @cache
