@@ -46,7 +46,7 @@ def edited(items: DataFrame, policy: Policy, include: str | None = None, exclude
     pool = items.where((F.col("decision") == "selected") | (F.col("reason_code") == "REDUNDANT") | (F.col("path") == F.lit(include or "")))
     pool = pool.where(F.col("path") != F.lit(exclude or ""))
     picks = select(pool, replace(policy), forced).select("path", "pick", F.col("value").alias("new_value"))
-    rows = items.withColumn("was", F.col("decision")).join(picks, "path", "left")
+    rows = items.drop("pick").withColumn("was", F.col("decision")).join(picks, "path", "left")
     code = (
         F.when(F.col("pick").isNotNull(), F.lit(None).cast("string")).when(F.col("path") == F.lit(exclude or ""), "MANUAL")
         .when(F.col("was") == "selected", "REDUNDANT").otherwise(F.col("reason_code")))
