@@ -43,9 +43,13 @@ class Workspace:
         small_batches(spark)
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str, **options) -> DataFrame:
-        """Write ``df`` once and read it back; what follows starts from the written files."""
+    def save(self, df: DataFrame, name: str, small: bool = False, **options) -> DataFrame:
+        """Write ``df`` once and read it back; what follows starts from the written files.
+
+        ``small``: a table of a fraction of the documents' size, written by an eighth of the tasks.
+        """
         at = f"{self.path}/{name}"
+        df = df.coalesce(max(8, parallelism(self.spark) // 8)) if small else df
         df.write.options(**options).parquet(at)
         return self.spark.read.schema(nullable(df.schema)).parquet(at)
 
@@ -122,18 +126,18 @@ def connected_components(ws: Workspace, edges: DataFrame, max_rounds: int = 60)
     Alternates large-star and small-star steps (Kiveris et al., SoCC 2014) on written tables until nothing
     moves; hubs are looked up by skew_safe_lookup.  No list of neighbours is ever collected.
     """
-    edges = ws.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-0")
+    edges = ws.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-0", small=True)
     was = None
     for step in range(1, max_rounds):
         both = edges.union(edges.select("b", "a")) if step % 2 else edges
         lows = ws.save(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n"))
-                       .withColumn("m", F.least("a", "m")), f"cc-low-{step}")
+                       .withColumn("m", F.least("a", "m")), f"cc-low-{step}", small=True)
         near = skew_safe_lookup(both, lows, ["a"], "_n")
         if step % 2:
             new = near.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             new = near.select(F.col("b").alias("a"), F.col("m").alias("b")).union(lows.select("a", F.col("m").alias("b")))
-        edges = ws.save(new.where("a <> b").distinct(), f"cc-{step}")
+        edges = ws.save(new.where("a <> b").distinct(), f"cc-{step}", small=True)
         ws.drop(f"cc-{step - 1}", f"cc-low-{step}")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if step % 2 == 0 and now == was:

@@ -246,7 +246,7 @@ def find_copies(docs: DataFrame, digest: Callable[[Column], Column] = sha256_dig
     kept_text = sides.where("_stays").select("_digest", F.explode(F.sequence(F.lit(0), F.col("_at") - 1)).alias("_at"), F.col("_text").alias("_kept_text"))
     differs = ws.save(
         sides.where("not _stays").join(kept_text, ["_digest", "_at"]).where(F.col("_text") != F.col("_kept_text"))
-        .select("_id", "_digest", "_text"), "differs")
+        .select("_id", "_digest", "_text"), "differs", small=True)
     ws.drop("sides")
     result = found.withColumn("keep_id", F.when(F.col("keep_id") != _LAST, F.col("keep_id")))
     if not differs.isEmpty():
@@ -270,6 +270,6 @@ def _regroup(ws: Workspace, result: DataFrame, differs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one for each text, with all their columns."""
     ws = Workspace(docs.sparkSession, "deduplicate")
-    kept = ws.save(find_copies(docs).where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.count(F.lit(1)).alias("_rows")), "kept")
+    kept = ws.save(find_copies(docs).where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.count(F.lit(1)).alias("_rows")), "kept", small=True)
     left = docs.join(kept.drop("_rows"), F.col("doc_id").eqNullSafe(F.col("_id")) & (sha256_digest(squeezed(F.col("text"))) == F.col("_digest")), "left_semi")
     return left if kept.where("_rows > 1").isEmpty() else left.dropDuplicates(["doc_id"])

@@ -215,7 +215,7 @@ def linked_nodes(ws: Workspace, nodes: DataFrame, radius: int = RADIUS, block_no
     total = nodes.count()
     pieces, agree = block_scheme(total, radius, block_nodes)
     keyed = ws.save(nodes.select(F.explode(block_keys(F.col("fp"), pieces, agree)).alias("block"), "fp", "doc_id"), "keyed")
-    sizes = ws.save(keyed.groupBy("block").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    sizes = ws.save(keyed.groupBy("block").agg(F.count(F.lit(1)).alias("size")), "sizes", small=True)
     rows = sizes.agg(F.sum("size")).first()[0] or 0
     # fewer than 1024 blocks hold more than one in 1024 of all rows
     large = sizes.where(F.col("size") > max(tree_nodes, rows // 1024)).select("block", F.ceil(F.col("size") / tree_nodes).cast("int").alias("trees"))
@@ -236,13 +236,13 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, b
     """(doc_id, fp, component_id) for every row: the smallest doc_id reachable over links."""
     ws = Workspace(docs.sparkSession, "simhash")
     prints = ws.save(fingerprints(docs, shingle), "prints")
-    nodes = ws.save(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(_LAST)).alias("doc_id"), F.count(F.lit(1)).alias("rows")), "nodes")
+    nodes = ws.save(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(_LAST)).alias("doc_id"), F.count(F.lit(1)).alias("rows")), "nodes", small=True)
     stars = ws.save(linked_nodes(ws, nodes.drop("rows"), radius, block_nodes, tree_nodes), "stars")
     ws.drop("keyed", "sizes")
-    labels = ws.save(connected_components(ws, stars), "labels")
+    labels = ws.save(connected_components(ws, stars), "labels", small=True)
     index = ws.save(
         nodes.join(labels, nodes.doc_id == labels.node, "left")
-        .select("fp", F.coalesce("component", "doc_id").alias("component_id"), "rows"), "index")
+        .select("fp", F.coalesce("component", "doc_id").alias("component_id"), "rows"), "index", small=True)
     found = skew_safe_lookup(prints, index, ["fp"], "rows")
     return found.select("doc_id", "fp", F.when(F.col("component_id") != _LAST, F.col("component_id")).alias("component_id"))
 
@@ -250,6 +250,6 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, b
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of their near-duplicate group."""
     ws = Workspace(docs.sparkSession, "near")
-    kept = ws.save(near_groups(docs, **options).where("doc_id <=> component_id").select("doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept")
+    kept = ws.save(near_groups(docs, **options).where("doc_id <=> component_id").select("doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept", small=True)
     left = docs.join(kept.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     return left if kept.where("rows > 1").isEmpty() else left.dropDuplicates(["doc_id"])

@@ -285,21 +285,21 @@ def repeated_spans(ws: Workspace, docs: DataFrame, abc: Alphabet, index: Index,
     n = parallelism(ws.spark)
     parts = ws.save(docs.mapInArrow(_parts(abc), PARTS), "parts")
     again = F.col("low") < F.col("high") if by_document else F.col("n") > 1
-    keys = ws.save(parts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where(again).select("key", "n"), "keys")
+    keys = ws.save(parts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where(again).select("key", "n"), "keys", small=True)
     shared = skew_safe_lookup(parts, keys, ["key"], "n")
     by_row = shared.groupBy("row").agg(F.collect_list(F.struct("key", "lo", "hi", "p")).alias("parts"))
     cuts = ws.save(docs.join(by_row, "row").mapInArrow(_cuts(abc), CUTS), "cuts")
     ws.drop("parts", "keys")
 
     contents = cuts.where("n is not null").select("key", "digest", "place", "n", F.col("doc_id").alias("low"), "content")
-    sizes = ws.save(contents.groupBy("key").agg(F.count(F.lit(1)).alias("contents")), "sizes")
+    sizes = ws.save(contents.groupBy("key").agg(F.count(F.lit(1)).alias("contents")), "sizes", small=True)
     large = sizes.where(F.col("contents") > group).select("key")
     marks = _marked(ws, contents, large, abc, index, by_document, shard_bytes, group, n, 0, abc.reach)
     marks = ws.save(marks, "marks")
     occ = cuts.where("n is null").select("key", "digest", "row", "doc_id", "start")
     whole = F.col("doc_id") > F.col("low") if by_document else F.col("n") > 1
     found = skew_safe_lookup(occ, marks, ["key", "digest"], "n").select("row", _spans(whole, F.col("start")).alias("spans")).where(F.size("spans") > 0)
-    spans = ws.save(found.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    spans = ws.save(found.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans", small=True)
     ws.drop("cuts", "sizes", "marks", *[f"{x}-{i}" for x in ("heavy", "finer", "merged", "fsizes", "fmarks", "fkeys") for i in range(12)])
     return spans
 
@@ -312,18 +312,18 @@ def _marked(ws, contents, large, abc, index, by_document, shard_bytes, group, n,
     light = indexed(contents.join(large, "key", "left_anti"))
     heavy = ws.save(
         contents.join(large, "key", "left_semi").groupBy("key", "digest")
-        .agg(F.first("place").alias("place"), F.sum("n").alias("n"), F.min("low").alias("low"), F.first("content").alias("content")), f"heavy-{level}")
+        .agg(F.first("place").alias("place"), F.sum("n").alias("n"), F.min("low").alias("low"), F.first("content").alias("content")), f"heavy-{level}", small=True)
     width = -(-width // 4)
     finer = ws.save(
-        heavy.repartition(n).mapInArrow(_finer(abc, width, level + 1), "key long, digest binary, up_key long, up_digest binary, shift int, n long, low long, place int, content binary"), f"finer-{level}")
+        heavy.repartition(n).mapInArrow(_finer(abc, width, level + 1), "key long, digest binary, up_key long, up_digest binary, shift int, n long, low long, place int, content binary"), f"finer-{level}", small=True)
     again = F.min("low") < F.max("low") if by_document else F.sum("n") > 1
-    keys = ws.save(finer.groupBy("key").agg(again.alias("again"), F.count(F.lit(1)).alias("n")).where("again").select("key", "n"), f"fkeys-{level}")
+    keys = ws.save(finer.groupBy("key").agg(again.alias("again"), F.count(F.lit(1)).alias("n")).where("again").select("key", "n"), f"fkeys-{level}", small=True)
     merged = ws.save(
         skew_safe_lookup(finer.withColumnRenamed("n", "m"), keys, ["key"], "n").groupBy("key", "digest")
-        .agg(F.first("place").alias("place"), F.sum("m").alias("n"), F.min("low").alias("low"), F.first("content").alias("content"), F.count(F.lit(1)).alias("ups")), f"merged-{level}")
-    sizes = ws.save(merged.groupBy("key").agg(F.count(F.lit(1)).alias("contents")), f"fsizes-{level}")
+        .agg(F.first("place").alias("place"), F.sum("m").alias("n"), F.min("low").alias("low"), F.first("content").alias("content"), F.count(F.lit(1)).alias("ups")), f"merged-{level}", small=True)
+    sizes = ws.save(merged.groupBy("key").agg(F.count(F.lit(1)).alias("contents")), f"fsizes-{level}", small=True)
     marks = _marked(ws, merged.drop("ups"), sizes.where(F.col("contents") > group).select("key"), abc, index, by_document, shard_bytes, group, n, level + 1, width)
-    marks = ws.save(marks.join(merged.select("key", "digest", "ups"), ["key", "digest"]), f"fmarks-{level}")
+    marks = ws.save(marks.join(merged.select("key", "digest", "ups"), ["key", "digest"]), f"fmarks-{level}", small=True)
     up = skew_safe_lookup(finer.select("key", "digest", "up_key", "up_digest", "shift", F.col("low").alias("up_low")), marks, ["key", "digest"], "ups")
     whole = F.col("up_low") > F.col("low") if by_document else F.col("n") > 1
     spans = (
