@@ -78,6 +78,15 @@ def squeezed(text):
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
 
 
+def dealt(df: DataFrame, n: int, keys: list[str], order: list) -> DataFrame:
+    """Rows with equal ``keys`` in one of ``n`` partitions, each sorted by ``order``, for a function over partitions.
+
+    Dealt by a number of its own: a repartition by the very keys of a join below would be merged with that join's
+    shuffle, which adaptive execution may then read in another way, so that equal keys end up apart.
+    """
+    return df.withColumn("_deal", F.xxhash64(*keys)).repartition(n, "_deal").sortWithinPartitions(*order).drop("_deal")
+
+
 def skew_safe_lookup(rows: DataFrame, index: DataFrame, keys: list[str], weight: str) -> DataFrame:
     """Inner join of many rows with an index that is unique by ``keys``; ``weight`` counts each key's rows.
 

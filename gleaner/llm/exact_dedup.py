@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, parallelism, skew_safe_lookup, squeezed
+from .common import Workspace, dealt, parallelism, skew_safe_lookup, squeezed
 
 #: Entries a memtable holds before it is flushed; runs merged at a time; filter bits and hashes for each entry.
 MEMTABLE_ROWS, FAN_IN, FILTER_BITS, FILTER_HASHES = 1 << 18, 8, 10, 7
@@ -215,7 +215,7 @@ def build_index(ws: Workspace, digests: DataFrame, width: int = 32, memtable_row
     shards = parallelism(ws.spark)
     runs = ws.save(digests.select("doc_id", "digest").mapInArrow(_flush(memtable_rows, shards, width), RUNS), "runs")
     merged = (
-        runs.repartition(shards, "shard").sortWithinPartitions("shard", "run", F.col("filter").isNull(), "digest")
+        dealt(runs, shards, ["shard"], ["shard", "run", F.col("filter").isNull(), "digest"])
         .mapInArrow(_compact(width), "shard int, digest binary, keep_id long, group_size long")
     )
     index = ws.save(merged, "index", **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"})

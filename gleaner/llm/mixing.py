@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, ranked_sums
+from .common import Workspace, dealt, parallelism, ranked_sums
 
 WEIGHTS, REPEATS, SEED = (1, 2, 3), 3, 42
 BLOCK_WORDS, SHARD_WORDS, MIN_SHARDS = 100_000, 8_000_000, 16
@@ -136,4 +136,5 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def write_mix(docs: DataFrame, path: str, **options) -> None:
     """The mix as Parquet folders _shard=k, each shuffled."""
     mixed = mix(docs, **options)
-    mixed.repartition("_shard").sortWithinPartitions("_shard", "_place").write.partitionBy("_shard").parquet(path)
+    n = parallelism(docs.sparkSession)
+    dealt(mixed, n, ["_shard"], ["_shard", "_place"]).write.partitionBy("_shard").parquet(path)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, binary_list, connected_components, in_batches, parallelism, skew_safe_lookup
+from .common import Workspace, binary_list, connected_components, dealt, in_batches, parallelism, skew_safe_lookup
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Expected nodes of a block; nodes of one tree; most (query, node) visits held at a time; shingles hashed at a time.
@@ -222,13 +222,13 @@ def linked_nodes(ws: Workspace, nodes: DataFrame, radius: int = RADIUS, block_no
     alone = sizes.where("size = 1").count() < rows
     if not alone:
         return ws.spark.createDataFrame([], "a long, b long")
-    dealt = (
+    rows = (
         keyed.join(F.broadcast(large), "block", "left")
         .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.coalesce("trees", F.lit(1))).cast("int"))
         .withColumn("tree", F.explode(F.sequence(F.lit(0), F.coalesce("trees", F.lit(1)) - 1)))
         .select("block", "tree", (F.col("tree") != F.col("own")).cast("int").alias("role"), "fp", "doc_id")
     )
-    stars = dealt.repartition(parallelism(ws.spark), "block", "tree").sortWithinPartitions("block", "tree", "role", "doc_id").mapInArrow(_link(radius), "a long, b long")
+    stars = dealt(rows, parallelism(ws.spark), ["block", "tree"], ["block", "tree", "role", "doc_id"]).mapInArrow(_link(radius), "a long, b long")
     return stars
 
 

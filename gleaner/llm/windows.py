@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, binary_list, flat_bytes, in_batches, parallelism, skew_safe_lookup
+from .common import Workspace, binary_list, dealt, flat_bytes, in_batches, parallelism, skew_safe_lookup
 
 #: Window starts hashed at a time; contents in a group before it is cut finer; symbols of one index shard.
 CHUNK, GROUP = 1 << 18, 256
@@ -306,7 +306,7 @@ def repeated_spans(ws: Workspace, docs: DataFrame, abc: Alphabet, index: Index,
 
 def _marked(ws, contents, large, abc, index, by_document, shard_bytes, group, n, level, width) -> DataFrame:
     """Marks of all contents; groups named in ``large`` are cut finer first, until a part is one window."""
-    indexed = lambda df: df.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_index(abc, index, shard_bytes), MARKS)
+    indexed = lambda df: dealt(df, n, ["key"], ["key"]).mapInArrow(_index(abc, index, shard_bytes), MARKS)
     if width == 1 or large.isEmpty():
         return indexed(contents)
     light = indexed(contents.join(large, "key", "left_anti"))
