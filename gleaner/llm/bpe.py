@@ -33,7 +33,7 @@ from .common import binary_list, in_batches, small_batches
 from .pieces import cut
 
 #: Words whose results a worker keeps; judged pairs it keeps.
-CACHED_WORDS, CACHED_PAIRS = 400_000, 2_000_000
+CACHED_WORDS, CACHED_PAIRS = 250_000, 1_000_000
 #: Stands for the end-of-word suffix inside pieces; no byte is mapped to it.
 END = "\ue000"
 _ASCII = re.compile(rb"[!-~]+")

@@ -19,6 +19,9 @@ SPACES = r"[\x20\x09-\x0D]+"
 #: A key with more than one in HEAVY of all rows is heavy; there are fewer than HEAVY such keys, whatever the data.
 HEAVY = 1024
 
+#: Tasks a core of a stage that writes.
+WAVES = 4
+
 
 def shared_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a folder of this session's own only where that is unset."""
@@ -43,13 +46,14 @@ class Workspace:
         small_batches(spark)
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str, small: bool = False, **options) -> DataFrame:
+    def save(self, df: DataFrame, name: str, small: bool = False, by_partition: bool = False, **options) -> DataFrame:
         """Write ``df`` once and read it back; what follows starts from the written files.
 
-        ``small``: a table of a fraction of the documents' size, written by an eighth of the tasks.
+        ``small``: a table of a fraction of the documents' size, written by a quarter of the tasks.
+        ``by_partition``: rows hold their partition's number, so partitions are written as they are.
         """
         at = f"{self.path}/{name}"
-        df = df.coalesce(max(8, parallelism(self.spark) // 8)) if small else df
+        df = df if by_partition else gathered(df, 1 if small else WAVES)
         df.write.options(**options).parquet(at)
         return self.spark.read.schema(nullable(df.schema)).parquet(at)
 
@@ -69,6 +73,11 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def gathered(df: DataFrame, waves: int = WAVES) -> DataFrame:
+    """The same rows in at most ``waves`` tasks a core, so that many small partitions don't make many small files."""
+    return df.coalesce(max(8, waves * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -137,7 +146,7 @@ def connected_components(ws: Workspace, edges: DataFrame, max_rounds: int = 60)
     """
     edges = ws.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-0", small=True)
     was = None
-    for step in range(1, max_rounds):
+    for step in range(1, 2 * max_rounds + 1):
         both = edges.union(edges.select("b", "a")) if step % 2 else edges
         lows = ws.save(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n"))
                        .withColumn("m", F.least("a", "m")), f"cc-low-{step}", small=True)
@@ -149,9 +158,12 @@ def connected_components(ws: Workspace, edges: DataFrame, max_rounds: int = 60)
         edges = ws.save(new.where("a <> b").distinct(), f"cc-{step}", small=True)
         ws.drop(f"cc-{step - 1}", f"cc-low-{step}")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if step % 2 == 0 and now == was:
-            break
-        was = now
+        if step % 2 == 0:  # unchanged by a large-star and a small-star step
+            if now == was:
+                break
+            was = now
+    else:
+        raise RuntimeError(f"no end after {max_rounds} rounds")
     parents = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return parents.union(roots)

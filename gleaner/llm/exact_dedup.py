@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, dealt, parallelism, skew_safe_lookup, squeezed
+from .common import Workspace, dealt, gathered, parallelism, skew_safe_lookup, squeezed
 
 #: Entries a memtable holds before it is flushed; runs merged at a time; filter bits and hashes for each entry.
 MEMTABLE_ROWS, FAN_IN, FILTER_BITS, FILTER_HASHES = 1 << 18, 8, 10, 7
@@ -213,7 +213,7 @@ def _emit_index(run: Run, shard: int, width: int) -> Iterator[pa.RecordBatch]:
 def build_index(ws: Workspace, digests: DataFrame, width: int = 32, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
     """The compacted index (shard, digest, keep_id, group_size) of (doc_id, digest) rows, one row a digest."""
     shards = parallelism(ws.spark)
-    runs = ws.save(digests.select("doc_id", "digest").mapInArrow(_flush(memtable_rows, shards, width), RUNS), "runs")
+    runs = ws.save(digests.select("doc_id", "digest").mapInArrow(_flush(memtable_rows, shards, width), RUNS), "runs", by_partition=True)
     merged = (
         dealt(runs, shards, ["shard"], ["shard", "run", F.col("filter").isNull(), "digest"])
         .mapInArrow(_compact(width), "shard int, digest binary, keep_id long, group_size long")
@@ -270,6 +270,7 @@ def _regroup(ws: Workspace, result: DataFrame, differs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one for each text, with all their columns."""
     ws = Workspace(docs.sparkSession, "deduplicate")
-    kept = ws.save(find_copies(docs).where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.count(F.lit(1)).alias("_rows")), "kept", small=True)
-    left = docs.join(kept.drop("_rows"), F.col("doc_id").eqNullSafe(F.col("_id")) & (sha256_digest(squeezed(F.col("text"))) == F.col("_digest")), "left_semi")
-    return left if kept.where("_rows > 1").isEmpty() else left.dropDuplicates(["doc_id"])
+    kept = ws.save(find_copies(docs).where("kept").groupBy(F.col("doc_id").alias("_exact_id"), F.col("digest").alias("_exact_digest")).agg(F.count(F.lit(1)).alias("_exact_rows")), "kept", small=True)
+    left = docs.join(kept.drop("_exact_rows"), F.col("doc_id").eqNullSafe(F.col("_exact_id")) & (sha256_digest(squeezed(F.col("text"))) == F.col("_exact_digest")), "left_semi")
+    left = gathered(left)
+    return left if kept.where("_exact_rows > 1").isEmpty() else left.dropDuplicates(["doc_id"])

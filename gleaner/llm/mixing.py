@@ -25,10 +25,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, dealt, parallelism, ranked_sums
+from .common import Workspace, dealt, gathered, parallelism, ranked_sums
 
 WEIGHTS, REPEATS, SEED = (1, 2, 3), 3, 42
 BLOCK_WORDS, SHARD_WORDS, MIN_SHARDS = 100_000, 8_000_000, 16
+#: Times that smaller documents fill what a larger one left open.
+REFILLS = 1
 #: Documents that top up a source at most, nearest size first; each takes up most of what is missing.
 TOPS = 6
 TOP = "top_source string, top_key long, top_id long, top_tie long"
@@ -92,9 +94,15 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = REP
     drawn = ws.save(
         ranked_sums(known, ["source"], "key", "size", "before").withColumn("block", block)
         .withColumn("extra", (F.col("rest") > 0) & (F.col("before") + F.col("size") <= F.col("rest"))), "drawn")
-    ended = drawn.groupBy("source").agg(F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0)).alias("words"), (F.max(F.when(F.col("extra"), F.col("block"))) + 1).alias("n"))
-    ended = {r.source: (r.words, r.n or 0) for r in ended.collect()}  # one row for each source
-    gap = {r.source: max(0.0, t - p * r["size"] - ended[r.source][0]) for r, t, p in zip(found, goal, passes)}
+    gap = _missing(drawn, found, goal, passes)
+    for step in range(REFILLS):  # documents that fit into what a larger one left open, in the same order
+        gaps = ws.spark.createDataFrame(list(gap.items()), "of string, gap double")
+        fits = drawn.join(F.broadcast(gaps), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+        fits = fits.withColumn("fit", F.when(~F.col("extra") & (F.col("size") <= F.col("gap")), F.col("size")).otherwise(0))
+        more = (F.col("fit") > 0) & (F.col("ahead") + F.col("fit") <= F.col("gap"))
+        drawn = ws.save(ranked_sums(fits, ["source"], "key", "fit", "ahead").withColumn("extra", F.col("extra") | more).drop("fit", "ahead", "gap"), f"drawn-{step}")
+        gap = _missing(drawn, found, goal, passes)
+    ended = {r.source: r.n for r in drawn.where("extra").groupBy("source").agg((F.max("block") + 1).alias("n")).collect()}  # one row for each source
     tops: list[tuple] = []  # at most TOPS documents for each source
     for step in range(TOPS):
         gaps = ws.spark.createDataFrame(list(gap.items()), "of string, gap double")
@@ -107,14 +115,14 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = REP
         for r in new:
             gap[r.source] = max(0.0, gap[r.source] - r.top["size"])
     topped = {t[0] for t in tops}
-    used = {r.source: max(ended[r.source][1], int(r.source in topped)) for r in found}
+    used = {r.source: max(ended.get(r.source, 0), int(r.source in topped)) for r in found}
     quotas = np.array([p * b + used[r.source] for r, p, b in zip(found, passes, blocks)], np.int64)
     many = shards or max(MIN_SHARDS, -(-sum(sizes) // SHARD_WORDS))
     ends = np.cumsum(split_quotas(quotas, many, seed), axis=0) if len(found) else np.zeros((many, 0), np.int64)
     cuts = ws.spark.createDataFrame([(r.source, ends[:, i].tolist(), used[r.source] - 1) for i, r in enumerate(found)], "of string, ends array<long>, final long")
-    dealt = drawn.join(F.broadcast(cuts), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    rated = drawn.join(F.broadcast(cuts), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     own_top = F.col("key").eqNullSafe(F.col("top_key")) & F.col("source").eqNullSafe(F.col("top_source")) & F.col("doc_id").eqNullSafe(F.col("top_id")) & (F.col("tie") == F.col("top_tie"))
-    dealt = dealt.join(F.broadcast(ws.spark.createDataFrame(tops, TOP).distinct()), own_top, "left").withColumn("extra", F.col("extra") | F.col("top_key").isNotNull())
+    rated = rated.join(F.broadcast(ws.spark.createDataFrame(tops, TOP).distinct()), own_top, "left").withColumn("extra", F.col("extra") | F.col("top_key").isNotNull())
     times = F.col("passes") + F.col("extra").cast("int")
     numbers = F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(F.expr("cast(array() as array<int>)"))
 
@@ -123,14 +131,22 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = REP
         number = k * F.col("blocks") + own
         return F.struct(k.alias("pass"), own.alias("block"), F.size(F.filter("ends", lambda e: e <= number)).alias("shard"), F.xxhash64(F.lit(seed), F.col("key"), k).alias("place"))
 
-    return dealt.select("doc_id", "tie", "source", "size", "source_size", "target", F.transform(numbers, draw).alias("draws"))
+    return gathered(rated).select("doc_id", "tie", "source", "size", "source_size", "target", F.transform(numbers, draw).alias("draws"))
+
+
+def _missing(drawn: DataFrame, found: list, goal: list[float], passes: list[int]) -> dict[str | None, float]:
+    """Words that each source still lacks; one row for each source is collected."""
+    taken = {r.source: r.words for r in drawn.where("extra").groupBy("source").agg(F.sum("size").alias("words")).collect()}
+    return {r.source: max(0.0, t - p * r["size"] - taken.get(r.source, 0)) for r, t, p in zip(found, goal, passes)}
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed rows: every column of ``docs``, a row for each time it is taken, and _shard and _place."""
-    draws = plan(docs, **options).where(F.size("draws") > 0).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "draws").dropDuplicates(["_id", "_tie"])
-    taken = docs.withColumn("_own", F.xxhash64("text")).join(draws, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tie")))
-    return taken.withColumn("_draw", F.explode("draws")).withColumns({"_shard": F.col("_draw.shard"), "_place": F.col("_draw.place")}).drop("_own", "_id", "_tie", "draws", "_draw")
+    names = {"doc_id": "_mix_id", "tie": "_mix_tie", "draws": "_mix_draws"}
+    draws = plan(docs, **options).where(F.size("draws") > 0).select(*[F.col(k).alias(v) for k, v in names.items()]).dropDuplicates(["_mix_id", "_mix_tie"])
+    taken = docs.withColumn("_mix_own", F.xxhash64("text")).join(draws, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (F.col("_mix_own") == F.col("_mix_tie")))
+    drawn = taken.withColumn("_mix_draw", F.explode("_mix_draws")).withColumns({"_shard": F.col("_mix_draw.shard"), "_place": F.col("_mix_draw.place")})
+    return gathered(drawn).drop("_mix_own", "_mix_draw", *names.values())
 
 
 def write_mix(docs: DataFrame, path: str, **options) -> None:

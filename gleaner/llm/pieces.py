@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 
-#: What is not ASCII or a Latin-1 letter (which no normaliser composes): other lead bytes, and two signs.
-_OTHER = re.compile(rb"[\xc0-\xc2\xc4-\xff]|\xc3[\x97\xb7]")
+#: Printable ASCII, ASCII white space, and the bytes of Latin-1 letters, which no normaliser composes.
+_KNOWN = bytes([*range(0x21, 0x7F), *b" \t\n\r\x0b\x0c", 0xC3, *range(0x80, 0xC0)])
+#: Two signs among the letters.
+_SIGNS = (b"\xc3\x97", b"\xc3\xb7")
 #: Runs of letters; the contractions that such tokenizers split off (fixed values); single digits; runs of marks.
 _PIECES = re.compile(rb"[a-z\x80-\xff]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[!-/:-@\[-`{-~]+")
 #: Letters of ASCII, in lower case, and of Latin-1.
 LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
-_SPACES = b" \t\n\r\x0b\x0c"
 
 
 def cut(text: bytes) -> list[bytes]:
@@ -19,8 +20,6 @@ def cut(text: bytes) -> list[bytes]:
     Either way the text's ids are the ids of these strings, each encoded alone, in a row.
     """
     low = text.lower()
-    if b"<|" not in low and (low.isascii() or not _OTHER.search(low)):
-        found = _PIECES.findall(low)
-        if b"".join(found) == low.translate(None, _SPACES):
-            return found
+    if not low.translate(None, _KNOWN) and b"<|" not in low and not any(s in low for s in _SIGNS):
+        return _PIECES.findall(low)
     return text.split()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, parallelism
+from .common import WAVES, Workspace, parallelism
 
 SHARDS, SEED, ROUNDS = 16, 42, 8
 
@@ -88,8 +88,8 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataF
     text = F.coalesce("text", F.lit(""))
     bare = ws.save(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64("text").alias("tie")), "bare")
     order = ["doc_id", "tie", "size", "text_crc32"]
-    sorted_ = bare.repartitionByRange(parallelism(ws.spark), *order).sortWithinPartitions(*order)
-    local = ws.save(sorted_.mapInArrow(_local, "doc_id long, size long, text_crc32 long, tie long, part int, local long"), "local")
+    sorted_ = bare.repartitionByRange(min(parallelism(ws.spark), WAVES * ws.spark.sparkContext.defaultParallelism), *order).sortWithinPartitions(*order)
+    local = ws.save(sorted_.mapInArrow(_local, "doc_id long, size long, text_crc32 long, tie long, part int, local long"), "local", by_partition=True)
     counts = sorted((r.part, r.n) for r in local.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())  # one row for each partition
     total = sum(n for _, n in counts)
     starts = np.cumsum([0, *(n for _, n in counts)]).tolist()
@@ -103,7 +103,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = S
 
     doc_ids must be unique here.
     """
-    places = shard_rows(docs, shards, seed).select(F.col("doc_id").alias("_id"), "shard", "slot")
-    placed = docs.join(places, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    places = shard_rows(docs, shards, seed).select(F.col("doc_id").alias("_place_id"), "shard", "slot")
+    placed = docs.drop("shard", "slot").join(places, F.col("doc_id").eqNullSafe(F.col("_place_id"))).drop("_place_id")
     n = parallelism(docs.sparkSession)
     placed.repartitionByRange(n, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

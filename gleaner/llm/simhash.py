@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, binary_list, connected_components, dealt, in_batches, parallelism, skew_safe_lookup
+from .common import Workspace, binary_list, connected_components, dealt, gathered, in_batches, parallelism, skew_safe_lookup
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Expected nodes of a block; nodes of one tree; most (query, node) visits held at a time; shingles hashed at a time.
@@ -244,12 +244,13 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, b
         nodes.join(labels, nodes.doc_id == labels.node, "left")
         .select("fp", F.coalesce("component", "doc_id").alias("component_id"), "rows"), "index", small=True)
     found = skew_safe_lookup(prints, index, ["fp"], "rows")
-    return found.select("doc_id", "fp", F.when(F.col("component_id") != _LAST, F.col("component_id")).alias("component_id"))
+    return gathered(found).select("doc_id", "fp", F.when(F.col("component_id") != _LAST, F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of their near-duplicate group."""
     ws = Workspace(docs.sparkSession, "near")
     kept = ws.save(near_groups(docs, **options).where("doc_id <=> component_id").select("doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept", small=True)
-    left = docs.join(kept.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    left = docs.join(kept.select(F.col("doc_id").alias("_near_id")), F.col("doc_id").eqNullSafe(F.col("_near_id")), "left_semi")
+    left = gathered(left)
     return left if kept.where("rows > 1").isEmpty() else left.dropDuplicates(["doc_id"])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, binary_list, in_batches
+from .common import Workspace, binary_list, gathered, in_batches
 from .windows import LAST, Alphabet, cover, numbered, repeated_spans
 
 WINDOW, GRAM = 50, 19
@@ -165,7 +165,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **op
     ws = Workspace(docs.sparkSession, "substring")
     rows = numbered(ws, docs)
     spans = repeated_in_corpus(ws, rows, window, gram, **options)
-    return rows.join(spans, "row", "left").select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), "text", "spans").mapInArrow(_remove, KEPT)
+    return gathered(rows.join(spans, "row", "left")).select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), "text", "spans").mapInArrow(_remove, KEPT)
 
 
 def _known(automata, window: int):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, binary_list, in_batches
+from .common import Workspace, binary_list, gathered, in_batches
 from .windows import LAST, Alphabet, cover, numbered, repeated_spans
 
 LENGTH, GRAM = 400, 145
@@ -61,7 +61,7 @@ class RunLengthBWT:
         n, width = len(sym), int(sym.max() + 1).bit_length()
         step = 62 // width
         both = np.zeros(n, np.int64)
-        for i in range(step):  # past the end counts as less than any symbol
+        for i in range(min(step, n)):  # past the end counts as less than any symbol
             both[: n - i] |= (sym[i:] + 1) << (width * (step - 1 - i))
         ranks, steps = [], []
         while True:
@@ -144,4 +144,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, **op
     ws = Workspace(docs.sparkSession, "suffix")
     rows = numbered(ws, docs)
     spans = repeated_in_corpus(ws, rows, length, gram, **options)
-    return rows.join(spans, "row", "left").select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), "text", "spans").mapInArrow(_remove, KEPT)
+    return gathered(rows.join(spans, "row", "left")).select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), "text", "spans").mapInArrow(_remove, KEPT)

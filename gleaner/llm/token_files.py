@@ -21,7 +21,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import filterfalse
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -76,16 +76,21 @@ class WordEncoder(dict):
 
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
         """Each text's ids and ``end``, as little-endian uint32."""
-        out, get, known = [], self.__getitem__, self.__contains__
+        out = []
         for a in range(0, len(texts), 64):
             if len(self) > CACHED_WORDS:
                 self.clear()
             found = [cut(t) for t in texts[a : a + 64]]
-            new: set[bytes] = set()
+            flat = list(chain.from_iterable(found))
+            ids = list(map(self.get, flat))
+            new = [i for i, x in enumerate(ids) if x is None]
+            self.learn({flat[i] for i in new})
+            for i in new:
+                ids[i] = self[flat[i]]
+            done = 0
             for x in found:
-                new.update(filterfalse(known, x))
-            self.learn(new)
-            out += [b"".join([*map(get, x), end]) for x in found]
+                out.append(b"".join(ids[done : done + len(x)]) + end)
+                done += len(x)
         return out
 
 
@@ -202,7 +207,7 @@ def write_flat(ws: Workspace, docs: DataFrame, tokenizer: str, end_id: int, dtyp
     jvm = ws.spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(folder)
     at.getFileSystem(ws.spark._jsc.hadoopConfiguration()).mkdirs(at)
-    return folder, ws.save(docs.select("doc_id", "text").mapInArrow(_write_flat(folder, tokenizer, end_id, dtype), "file string, doc_no long, doc_id long"), "manifest")
+    return folder, ws.save(docs.select("doc_id", "text").mapInArrow(_write_flat(folder, tokenizer, end_id, dtype), "file string, doc_no long, doc_id long"), "manifest", by_partition=True)
 
 
 def _blocks(folder: str, width: int, block_bytes: int):
