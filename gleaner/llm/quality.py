@@ -29,7 +29,7 @@ from .common import Workspace, binary_list, flat_bytes, in_batches
 from .windows import _BASE, _mix, word_bounds, word_codes
 
 COMMON_SHARE, COMMON_WORDS = 0.004, 48
-MIN_WORDS, MAX_REPEATED = 10, 0.2
+MIN_WORDS, MAX_REPEATED_PERCENT = 10, 20
 #: Limits of the two distances, and the least characters and words for which they are asked.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.3, 0.42
 MIN_CHARS, MIN_COMMON_WORDS = 200, 60
@@ -201,10 +201,10 @@ def _score(known: dict[str | None, Reference], limits: tuple[float, float]):
                 shares /= np.maximum(base["n_words"][rows], 1)[:, None]
                 shares[:, -1] = 1 - shares[:, :-1].sum(axis=1)
                 apart[rows] = js_distance(shares, ref.words) if len(ref.place) else 0
-            failed = (base["n_words"] < MIN_WORDS) | (base["n_repeat_words"] > MAX_REPEATED * base["n_words"] + 1e-9)
+            failed = (base["n_words"] < MIN_WORDS) | (100 * base["n_repeat_words"] > MAX_REPEATED_PERCENT * base["n_words"])
             bad = (far > limits[0]) & (chars >= MIN_CHARS) | (apart > limits[1]) & (base["n_words"] >= MIN_COMMON_WORDS)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array(base[c].astype(np.int64)) for c in BASE], pa.array(far), pa.array(apart), pa.array(failed), pa.array(~failed & ~bad)],
+                [batch.column("doc_id"), *[pa.array(base[c].astype(np.int64)) for c in BASE], pa.array(np.round(far, 6)), pa.array(np.round(apart, 6)), pa.array(failed), pa.array(~failed & ~bad)],
                 ["doc_id", *BASE, "class_distance", "word_distance", "base_failed", "kept"])
 
     return scan

@@ -90,4 +90,49 @@ ORACLES: dict[str, str] = {
                doc_id = min(doc_id) OVER g AS kept, sha256(body) AS text_sha256
         FROM t WINDOW g AS (PARTITION BY body)
     """,
+    "op2_quality": r"""
+        WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        b AS (
+            SELECT doc_id, lang, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda y: length(y))), 0)::BIGINT AS word_chars, length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS n_symbols, length(x) AS chars,
+                   [length(regexp_replace(x, '[^a-z]', '', 'g')), length(regexp_replace(x, '[^A-Z]', '', 'g')), length(regexp_replace(x, '[^0-9]', '', 'g')), length(regexp_replace(x, '[^ \t]', '', 'g')),
+                    length(regexp_replace(x, '[^\n\r\x0b\x0c]', '', 'g')), length(regexp_replace(x, '[^.,;:!?]', '', 'g')), length(regexp_replace(x, '[^''"()\-]', '', 'g')), length(regexp_replace(x, '[\x00-\x7f]', '', 'g'))] AS c FROM t),
+        ln AS (SELECT doc_id, count(*) - count(DISTINCT y) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(x, chr(10))) AS y FROM t) WHERE regexp_matches(y, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+        g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM t WHERE len(w) >= 5))),
+        rp AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM g WHERE n > 1) GROUP BY doc_id),
+        cl AS (SELECT doc_id, lang, chars, unnest(list_append(c, chars - list_sum(c))) AS n, unnest(range(9)) AS k FROM b),
+        cq AS (SELECT lang, k, sum(n) / greatest(sum(sum(n)) OVER (PARTITION BY lang), 1) AS q FROM cl GROUP BY lang, k),
+        cd AS (SELECT doc_id, sqrt(greatest(least(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 1), 0)) AS class_distance
+               FROM (SELECT doc_id, n / greatest(chars, 1) AS p, q FROM cl JOIN cq ON cl.lang IS NOT DISTINCT FROM cq.lang AND cl.k = cq.k) GROUP BY doc_id),
+        wc AS (SELECT doc_id, lang, y, count(*) AS n FROM (SELECT doc_id, lang, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS y FROM t) GROUP BY ALL),
+        lt AS (SELECT lang, sum(len(w)) AS total FROM t GROUP BY lang),
+        top AS (SELECT lang, y, n / total AS q FROM (SELECT wc.lang, y, sum(n) AS n, any_value(total) AS total FROM wc JOIN lt ON wc.lang IS NOT DISTINCT FROM lt.lang GROUP BY wc.lang, y HAVING sum(n) >= 0.004::DOUBLE * any_value(total)) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, y) <= 48),
+        pq AS (SELECT b.doc_id, coalesce(wc.n, 0) / greatest(n_words, 1) AS p, q FROM b JOIN top ON b.lang IS NOT DISTINCT FROM top.lang LEFT JOIN wc ON wc.doc_id = b.doc_id AND wc.y = top.y),
+        pr AS (SELECT doc_id, p, q FROM pq UNION ALL SELECT doc_id, 1 - sum(p), 1 - sum(q) FROM pq GROUP BY doc_id),
+        wd AS (SELECT doc_id, sqrt(greatest(least(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 1), 0)) AS word_distance FROM pr GROUP BY doc_id),
+        s AS (SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, class_distance, coalesce(word_distance, 0) AS word_distance, chars,
+                     n_words < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * n_words AS base_failed FROM b LEFT JOIN ln USING (doc_id) LEFT JOIN rp USING (doc_id) LEFT JOIN cd USING (doc_id) LEFT JOIN wd USING (doc_id))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance, base_failed,
+               NOT base_failed AND NOT (class_distance > 0.3::DOUBLE AND chars >= 200) AND NOT (word_distance > 0.42::DOUBLE AND n_words >= 60) AS kept FROM s
+    """,
+    "op3_substring_dedup": r"""
+        WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM t WHERE len(w) >= 50)),
+        low AS (SELECT h, min(doc_id) AS low FROM win GROUP BY h),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM win JOIN low USING (h) WHERE low < doc_id),
+        each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM t),
+        kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.k) AS body, count(*) AS n FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.k = g.k GROUP BY e.doc_id)
+        SELECT t.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM t LEFT JOIN kept USING (doc_id)
+    """,
+    "op4_suffix_dedup": r"""
+        WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        win AS (SELECT doc_id, i, md5(substr(x, 2 * i - 1, 800)) AS h FROM (SELECT doc_id, x, unnest(range(1, len(x) // 2 - 398)) AS i FROM t WHERE len(x) >= 800)),
+        hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM win) WHERE n > 1),
+        cut AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400, true) AS new FROM hit),
+        run AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM cut) GROUP BY doc_id, k),
+        own AS (SELECT doc_id, count(*) AS n, sum(b - a)::BIGINT AS gone FROM run GROUP BY doc_id),
+        gap AS (SELECT doc_id, b AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM (SELECT doc_id, a, b FROM run UNION ALL SELECT doc_id, 0, 1 FROM t)),
+        kept AS (SELECT t.doc_id, string_agg(substr(x, 2 * a - 1, CASE WHEN b IS NULL THEN len(x) ELSE 2 * (b - a) END), '' ORDER BY a) AS body FROM t JOIN gap USING (doc_id) GROUP BY t.doc_id)
+        SELECT t.doc_id, len(x) // 2 AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(body, ''))) AS kept_sha256
+        FROM t LEFT JOIN own USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
 }
