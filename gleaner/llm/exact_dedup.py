@@ -29,6 +29,8 @@ from .common import Workspace, dealt, gathered, parallelism, skew_safe_lookup, s
 
 #: Entries a memtable holds before it is flushed; runs merged at a time; filter bits and hashes for each entry.
 MEMTABLE_ROWS, FAN_IN, FILTER_BITS, FILTER_HASHES = 1 << 18, 8, 10, 7
+#: Most rows expected in a shard of digests.
+SHARD_ROWS = 1 << 20
 #: Hits compared with one copy of the kept text.
 VERIFY_CHUNK = 256
 _LAST = (1 << 63) - 1
@@ -212,7 +214,7 @@ def _emit_index(run: Run, shard: int, width: int) -> Iterator[pa.RecordBatch]:
 
 def build_index(ws: Workspace, digests: DataFrame, width: int = 32, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
     """The compacted index (shard, digest, keep_id, group_size) of (doc_id, digest) rows, one row a digest."""
-    shards = parallelism(ws.spark)
+    shards = max(parallelism(ws.spark), digests.count() // SHARD_ROWS)
     runs = ws.save(digests.select("doc_id", "digest").mapInArrow(_flush(memtable_rows, shards, width), RUNS), "runs", by_partition=True)
     merged = (
         dealt(runs, shards, ["shard"], ["shard", "run", F.col("filter").isNull(), "digest"])

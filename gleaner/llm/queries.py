@@ -18,6 +18,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The first id that the tokenizer never makes, so no text holds it.
+SEPARATOR = 49408
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.find_copies(documents(spark, sf_dir))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -49,10 +53,10 @@ def op6_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of each document (with the end id 49407), counted in flat files that hold ids alone."""
+    """Tokens of each document (with the end id), counted in flat files that hold ids alone."""
     ws = Workspace(spark, "flat")
-    folder, manifest = token_files.write_flat(ws, documents(spark, sf_dir), tokenizer_path(), 49407)
-    counts = token_files.scan_separators(ws, folder, manifest.select("file").distinct(), 49407)
+    folder, manifest = token_files.write_flat(ws, documents(spark, sf_dir), tokenizer_path(), SEPARATOR)
+    counts = token_files.scan_separators(ws, folder, manifest.select("file").distinct(), SEPARATOR)
     return manifest.join(counts, ["file", "doc_no"]).select("doc_id", "n_tokens")
 
 
