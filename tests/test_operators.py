@@ -262,3 +262,25 @@ def test_ingest(spark, tmp_path):
         stream = ingest.arriving(spark, f"file://{tmp_path}/in", spark.read.parquet(f"file://{tmp_path}/in").schema)
         ingest.analyse_into_cache(stream, f"file://{tmp_path}/cache", "v1", analyse, f"file://{tmp_path}/ck{_}").awaitTermination()
     assert spark.read.parquet(f"file://{tmp_path}/cache").count() == 2
+
+
+def test_pixels(spark, tmp_path):
+    import struct
+    import zlib
+
+    from gleaner.functions import pixels
+
+    rnd = np.random.default_rng(1)
+    image = rnd.integers(0, 256, (40, 50, 3), np.uint8)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = b"".join(b"\0" + r.tobytes() for r in image)
+    (tmp_path / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 50, 40, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b""))
+    (tmp_path / "b.png").write_bytes(b"no image")
+    found = pixels.features(files.decoded(spark, f"file://{tmp_path}")).collect()
+    assert len(found) == 1
+    wanted = pixels.features_of(image.astype(float))
+    assert (found[0].width, found[0].height, found[0].hash) == (50, 40, wanted["hash"]) and found[0].edge_variance == pytest.approx(wanted["edge_variance"])
+    assert len(found[0].descriptor) == 48 and all(0 <= x <= 1 for x in found[0].descriptor)
+    flat, blocks = np.full((32, 32), 90.0), np.kron(np.indices((4, 4)).sum(axis=0) % 2 * 80.0, np.ones((8, 8)))
+    assert pixels.block_artifact(flat) == 0.0 and pixels.block_artifact(blocks) == 1.0 and pixels.block_artifact(flat[:8]) == 0.0
+    assert pixels.edge_variance(flat) == 0.0 and (pixels.resized(flat, 8, 8) == 90).all()
