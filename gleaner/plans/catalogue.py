@@ -320,17 +320,17 @@ def _candidates(spark, sf):
     return gated.where("reason_code is null").withColumn("vec", F.col("visual_vec"))
 
 
-def _select_sql(profile: str, picks: int, forced: tuple[int, ...] = ()) -> str:
-    """The greedy rule, each pick a query over all candidates and the picks before it."""
+def _select_sql(profile: str, picks: int, forced: tuple[str, ...] = (), where: str = "reason_code IS NULL") -> str:
+    """The greedy rule, each pick a query over all candidates and the picks before it; ``forced``: queries of paths."""
     w = [f"{x}::DOUBLE" for x in PROFILES[profile]]
-    ctes = [CLUSTER_SQL, "cand AS MATERIALIZED (SELECT * FROM clustered WHERE reason_code IS NULL)",
+    ctes = [CLUSTER_SQL, f"cand AS MATERIALIZED (SELECT * FROM clustered WHERE {where})",
             "chosen0 AS (SELECT path, vec, pose, expression, appearance, scene, session, 0 AS pick, 0::DOUBLE AS value FROM cand WHERE false)"]
     for k in range(picks):
         nov = [f"1.0::DOUBLE / (1 + (SELECT count(*) FROM chosen{k} h WHERE h.{b} = c.{b}))" for b in ("pose", "expression", "appearance", "scene", "session")]
         near = f"coalesce((SELECT max(floor(list_cosine_similarity(h.vec, c.vec) * 1e6 + 0.5) / 1e6) FROM chosen{k} h), 0)"
         terms = ["c.quality", "c.match", f"(1 - greatest(0, {near}))", *nov]
         value = " + ".join(f"{a} * {t}" for a, t in zip(w, terms))
-        only = f"c.vec_id = {forced[k]}" if k < len(forced) else f"c.path NOT IN (SELECT path FROM chosen{k})"
+        only = f"c.path = ({forced[k]})" if k < len(forced) else f"c.path NOT IN (SELECT path FROM chosen{k})"
         ctes.append(f"pick{k} AS MATERIALIZED (SELECT path, vec, pose, expression, appearance, scene, session, {k + 1} AS pick, ({value})::DOUBLE AS value FROM cand c WHERE {only} ORDER BY value DESC, path LIMIT 1)")
         ctes.append(f"chosen{k + 1} AS MATERIALIZED (SELECT * FROM chosen{k} UNION ALL SELECT * FROM pick{k})")
     return f"WITH {', '.join(ctes)} SELECT path, pick::INT AS pick, round(value * 100, 3) AS value FROM chosen{picks}"
@@ -341,7 +341,7 @@ for _profile in PROFILES:
         lambda spark, sf, p=_profile: selection.select(_candidates(spark, sf), Policy(verification="custom", match_threshold=0.55, target_count=8, profile=p)).select("path", "pick", "value"))
 
 
-@query(None)
+@query(_select_sql("balanced", 8, ("SELECT path FROM cand ORDER BY quality, path LIMIT 1", "SELECT path FROM cand ORDER BY quality, path LIMIT 1 OFFSET 1")))
 def select_forced(spark, sf):
     """The two candidates with the lowest quality are put in first."""
     cand = _candidates(spark, sf)
@@ -378,7 +378,10 @@ def why_rejected(spark, sf):
     return review.explained(_decided(spark, sf).withColumn("reasons", F.array().cast("array<string>"))).select("path", "why")
 
 
-@query(None)
+@query(f"""WITH before_ AS MATERIALIZED ({_select_sql('balanced', 8)}), pool AS MATERIALIZED (WITH {CLUSTER_SQL} SELECT path, quality FROM clustered WHERE reason_code IS NULL),
+    out_ AS MATERIALIZED (SELECT path FROM before_ WHERE pick = 1), new_ AS MATERIALIZED (SELECT path FROM pool WHERE path NOT IN (SELECT path FROM before_) ORDER BY quality DESC, path LIMIT 1),
+    after_ AS MATERIALIZED ({_select_sql('balanced', 8, ('SELECT path FROM new_',), 'reason_code IS NULL AND path NOT IN (SELECT path FROM out_)')})
+    SELECT path, 'added' AS change FROM after_ WHERE path NOT IN (SELECT path FROM before_) UNION ALL SELECT path, 'removed' FROM before_ WHERE path NOT IN (SELECT path FROM after_)""")
 def review_diff(spark, sf):
     """The first pick is taken out and the best left-over is put in; the rest is chosen anew."""
     rows = _decided(spark, sf)
