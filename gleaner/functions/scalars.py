@@ -1,6 +1,7 @@
 """Scalar rules of the curation policy.
 
-Numbers are rounded by Spark's round (half up on the decimal value) throughout.
+Numbers are rounded by Spark's round (half up on the decimal value) throughout.  The limits, weights and landmark
+numbers in these rules are fixed values of the policy.
 """
 
 from __future__ import annotations

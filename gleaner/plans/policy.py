@@ -5,14 +5,14 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 
-#: Weights of the eight terms of a candidate's value, in the order in which they are added.
+#: Weights of the eight terms of a candidate's value, in the order in which they are added.
 TERMS = ("quality", "match", "diversity", "pose", "expression", "appearance", "scene", "session")
 PROFILES = {
     "balanced": (0.34, 0.16, 0.16, 0.10, 0.07, 0.07, 0.05, 0.05),
     "quality": (0.54, 0.19, 0.08, 0.05, 0.03, 0.04, 0.03, 0.04),
     "diversity": (0.21, 0.13, 0.20, 0.13, 0.08, 0.10, 0.08, 0.07),
 }
-#: Default thresholds of the named verification modes.
+#: Default thresholds of the named verification modes.
 MODES = {"high": 0.72, "normal": 0.65, "custom": None}
 STRENGTHS = ("strong", "normal", "exact")
 
