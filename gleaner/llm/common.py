@@ -66,8 +66,12 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def gathered(df: DataFrame, waves: int = WAVES) -> DataFrame:
-    """The same rows in at most ``waves`` tasks a core, so that many small partitions don't make many small files."""
-    return df.coalesce(max(8, waves * df.sparkSession.sparkContext.defaultParallelism))
+    """The same rows in fewer tasks, so that many small partitions don't make many small files.
+
+    There are ``waves`` tasks a core at least, and a task takes no more than 8 * WAVES / ``waves`` shuffle partitions.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(8, waves * spark.sparkContext.defaultParallelism, waves * parallelism(spark) // (8 * WAVES)))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
