@@ -30,12 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import binary_list, in_batches, small_batches
-from .pieces import cut
+from .pieces import LETTERS, cut
 
 #: Words whose results a worker keeps; judged pairs it keeps.
-CACHED_WORDS, CACHED_PAIRS = 250_000, 1_000_000
+CACHED_WORDS, CACHED_PAIRS = 350_000, 1_000_000
 #: Stands for the end-of-word suffix inside pieces; no byte is mapped to it.
 END = "\ue000"
+#: Byte-level vocabularies write printable bytes as themselves and the others as characters from 256 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 _ASCII = re.compile(rb"[!-~]+")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
@@ -55,7 +58,8 @@ class BPE:
             raise ValueError("a plain BPE model with an end-of-word suffix and no decoder is needed")
         marked = lambda s: s[: -len(suffix)] + END if s.endswith(suffix) else s
         self.tokenizer = Tokenizer.from_file(path)
-        self.texts = {i: t for t, i in model["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        self.texts = {i: t.encode() for t, i in model["vocab"].items()} | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+        self.numbers = {i: str(i).encode() for i in self.texts}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split = re.compile("|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)))
         self.ids = {marked(t): i for t, i in model["vocab"].items() if t not in self.special}
@@ -151,6 +155,10 @@ class BPE:
 
     def _marked(self, word: bytes) -> list[str | int]:
         """A word as marked pre-tokens and special ids."""
+        if word.isalpha():
+            return [word.decode().lower() + END]
+        if LETTERS.fullmatch(word):
+            return [word.decode().lower().encode().decode("latin-1").translate(_BYTES) + END]
         if _ASCII.fullmatch(word) and b"<|" not in word:
             return [p + END for p in _PIECES.findall(word.decode().lower())]
         out: list[str | int] = []
@@ -169,10 +177,10 @@ class BPE:
         parts = [self._marked(w) for w in words]
         marked = list({p for c in parts for p in c if isinstance(p, str)})
         ids = dict(zip(marked, self.encode_marked(marked)[0]))
-        texts = self.texts
+        texts, numbers = self.texts, self.numbers
         for word, c in zip(words, parts):
-            own = [i for p in c for i in (ids[p] if isinstance(p, str) else (p,))]
-            self.cache[word] = struct.pack(f"<{len(own)}I", *own), " ".join(map(str, own)).encode(), " ".join([texts[i] for i in own]).encode()
+            own = ids[c[0]] if len(c) == 1 and isinstance(c[0], str) else [i for p in c for i in (ids[p] if isinstance(p, str) else (p,))]
+            self.cache[word] = struct.pack(f"<{len(own)}I", *own), b" ".join([numbers[i] for i in own]), b" ".join([texts[i] for i in own])
 
     def words(self, texts: list[bytes]) -> list[list[bytes]]:
         """Each text's pre-tokens or words, all of them in the cache."""
