@@ -16,7 +16,8 @@ Fingerprints within ``radius`` bits are linked, exactly:
 * A block gives a star for each local group of linked nodes, not all pairs; connected components join the stars.
 
 Cases: null text has no word; repeated rows are one node; an empty table gives an empty result; null doc_ids are
-reported and count as larger than any other; very long texts are hashed in bounded pieces.
+reported and count as larger than any other, and a component of null doc_ids alone has a null component_id; repeated
+doc_ids are told apart by their texts; very long texts are hashed in bounded pieces.
 """
 
 from __future__ import annotations
@@ -72,14 +73,21 @@ def _fingerprints(shingle: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_batches(batches, "text"):
             found = [text_fingerprint(x, shingle) for x in binary_list(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            rest = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(np.array(found, np.uint64).view(np.int64))], [*rest, "fp"])
 
     return scan
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long, one row for each row of ``docs``."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, digests: bool = False) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long, one row for each row of ``docs``; with ``digests`` the text's too."""
+    also = [_text_digest().alias("digest")] if digests else []
+    return docs.select("doc_id", "text", *also).mapInArrow(_fingerprints(shingle), "doc_id long, " + "digest binary, " * digests + "fp long")
+
+
+def _text_digest():
+    """SHA-256 of the whole text; null for null."""
+    return F.unhex(F.sha2("text", 256))
 
 
 def block_scheme(nodes: int, radius: int, block_nodes: int = BLOCK_NODES) -> tuple[int, int]:
@@ -232,25 +240,36 @@ def linked_nodes(ws: Workspace, nodes: DataFrame, radius: int = RADIUS, block_no
     return stars
 
 
-def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, block_nodes: int = BLOCK_NODES, tree_nodes: int = TREE_NODES) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: the smallest doc_id reachable over links."""
+def _components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, block_nodes: int = BLOCK_NODES, tree_nodes: int = TREE_NODES, digests: bool = False) -> DataFrame:
+    """The fingerprints with component, the component's smallest fingerprint, and component_id, its smallest doc_id."""
     ws = Workspace(docs.sparkSession, "simhash")
-    prints = ws.save(fingerprints(docs, shingle), "prints")
-    nodes = ws.save(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(_LAST)).alias("doc_id"), F.count(F.lit(1)).alias("rows")), "nodes", small=True)
-    stars = ws.save(linked_nodes(ws, nodes.drop("rows"), radius, block_nodes, tree_nodes), "stars")
+    prints = ws.save(fingerprints(docs, shingle, digests), "prints")
+    nodes = ws.save(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("rows")), "nodes", small=True)
+    # a node's id is its fingerprint: doc_ids may be null or repeated
+    stars = ws.save(linked_nodes(ws, nodes.select("fp", F.col("fp").alias("doc_id")), radius, block_nodes, tree_nodes), "stars")
     ws.drop("keyed", "sizes")
     labels = ws.save(connected_components(ws, stars), "labels", small=True)
-    index = ws.save(
-        nodes.join(labels, nodes.doc_id == labels.node, "left")
-        .select("fp", F.coalesce("component", "doc_id").alias("component_id"), "rows"), "index", small=True)
-    found = skew_safe_lookup(prints, index, ["fp"], "rows")
-    return gathered(found).select("doc_id", "fp", F.when(F.col("component_id") != _LAST, F.col("component_id")).alias("component_id"))
+    labelled = ws.save(
+        nodes.join(labels.withColumnRenamed("component", "_least"), nodes.fp == labels.node, "left")
+        .select("fp", F.coalesce("_least", "fp").alias("component"), "least_id", "rows"), "labelled", small=True)
+    least = ws.save(labelled.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("nodes")), "least", small=True)
+    index = ws.save(skew_safe_lookup(labelled.drop("least_id"), least, ["component"], "nodes").drop("nodes"), "index", small=True)
+    return gathered(skew_safe_lookup(prints, index, ["fp"], "rows")).drop("rows")
+
+
+def near_groups(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, fp, component_id) for every row: the smallest doc_id reachable over links, null if all are null."""
+    return _components(docs, **options).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their near-duplicate group."""
+    """One row of each near-duplicate group of ``docs``: the smallest doc_id and, under that, the smallest digest of the text."""
     ws = Workspace(docs.sparkSession, "near")
-    kept = ws.save(near_groups(docs, **options).where("doc_id <=> component_id").select("doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept", small=True)
-    left = docs.join(kept.select(F.col("doc_id").alias("_near_id")), F.col("doc_id").eqNullSafe(F.col("_near_id")), "left_semi")
+    least = _components(docs, digests=True, **options).where("doc_id <=> component_id").groupBy("component", "doc_id", "digest").agg(F.count(F.lit(1)).alias("rows"))
+    kept = ws.save(
+        least.groupBy("component").agg(F.min(F.struct("digest", "doc_id", "rows")).alias("one"))
+        .select(F.col("one.doc_id").alias("_near_id"), F.col("one.digest").alias("_near_digest"), F.col("one.rows").alias("_near_rows")), "kept", small=True)
+    left = docs.withColumn("_near_text", _text_digest()).join(
+        kept.drop("_near_rows"), F.col("doc_id").eqNullSafe(F.col("_near_id")) & F.col("_near_text").eqNullSafe(F.col("_near_digest")), "left_semi")
     left = gathered(left)
-    return left if kept.where("rows > 1").isEmpty() else left.dropDuplicates(["doc_id"])
+    return (left if kept.where("_near_rows > 1").isEmpty() else left.dropDuplicates(["doc_id", "_near_text"])).drop("_near_text")

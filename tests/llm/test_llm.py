@@ -8,6 +8,7 @@ import re
 import struct
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -490,6 +491,24 @@ def test_keep_one(docs):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({r.component_id for r in simhash.near_groups(docs).collect()})
 
 
+def test_near_copies_with_null_and_repeated_ids(spark):
+    rnd = random.Random(12)
+    a, b, c, d, e, f = (" ".join("".join(rnd.choices("abcdefgh", k=6)) for _ in range(40)) for _ in range(6))
+    assert all((brute_print(x) ^ brute_print(y)).bit_count() > 20 for x, y in combinations((a, b, c, d, e, f), 2))
+    near = {a: 3, b: 4}  # the same fingerprint as a null document's
+    rows = [(None, a), (None, b), (None, c), (None, d), (None, d), (near[a], a.upper()), (near[b], b.upper()), (9, e), (9, f), (9, f)]
+    found = simhash.near_groups(frame(spark, rows)).collect()
+    prints = {t: brute_print(t) for _, t in rows}
+    wanted = [(i, prints[t], near.get(t.lower(), 9 if t in (e, f) else None)) for i, t in rows]
+    order = lambda rows: sorted(rows, key=str)
+    assert order((r.doc_id, r.fp % (1 << 64), r.component_id) for r in found) == order(wanted)
+    kept = simhash.keep_one(frame(spark, rows))
+    assert kept.columns == frame(spark, rows).columns
+    assert order((r.doc_id, r.text) for r in kept.collect()) == order([(3, a.upper()), (4, b.upper()), (None, c), (None, d), (9, e), (9, f)])
+    two = simhash.keep_one(frame(spark, [(None, a), (None, a + " "), (None, c), (7, None), (7, "")])).collect()
+    assert len(two) == 3 and sorted((r.doc_id or -1) for r in two) == [-1, -1, 7]
+
+
 # all
 
 
