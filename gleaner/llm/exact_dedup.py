@@ -273,6 +273,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one for each text, with all their columns."""
     ws = Workspace(docs.sparkSession, "deduplicate")
     kept = ws.save(find_copies(docs).where("kept").groupBy(F.col("doc_id").alias("_exact_id"), F.col("digest").alias("_exact_digest")).agg(F.count(F.lit(1)).alias("_exact_rows")), "kept", small=True)
-    left = docs.join(kept.drop("_exact_rows"), F.col("doc_id").eqNullSafe(F.col("_exact_id")) & (sha256_digest(squeezed(F.col("text"))) == F.col("_exact_digest")), "left_semi")
+    left = docs.withColumn("_exact_text", sha256_digest(squeezed(F.col("text")))).join(
+        kept.drop("_exact_rows"), F.col("doc_id").eqNullSafe(F.col("_exact_id")) & (F.col("_exact_text") == F.col("_exact_digest")), "left_semi")
     left = gathered(left)
-    return left if kept.where("_exact_rows > 1").isEmpty() else left.dropDuplicates(["doc_id"])
+    return (left if kept.where("_exact_rows > 1").isEmpty() else left.dropDuplicates(["doc_id", "_exact_text"])).drop("_exact_text")

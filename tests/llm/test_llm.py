@@ -100,6 +100,13 @@ def test_exact_repeats_and_nulls(spark):
     assert left.columns == frame(spark, rows).columns and sorted((r.doc_id or -1) for r in left.collect()) == [-1, 3, 5, 7]
 
 
+def test_exact_repeats_leave_other_texts(spark):
+    rows = [(3, "a b"), (3, "a b"), (3, "c"), (None, "d"), (None, "e"), (None, "e"), (None, "a  b"), (5, None), (5, "f")]
+    left = exact_dedup.deduplicate(frame(spark, rows))
+    assert left.columns == frame(spark, rows).columns
+    assert sorted(((r.doc_id or -1), r.text or "") for r in left.collect()) == [(-1, "d"), (-1, "e"), (3, "a b"), (3, "c"), (5, ""), (5, "f")]
+
+
 # 2 quality
 
 
