@@ -106,6 +106,26 @@ def checksum_verify(spark, sf):
     return reports.checksum_mismatches(expected, actual)
 
 
+WHOLE_UPSERT_SQL = """both_ AS (SELECT fingerprint, doc_id, 0 AS gen FROM work UNION ALL SELECT fingerprint, doc_id, 1 FROM work)
+    SELECT fingerprint, max_by(doc_id, gen * 1000000000000 + doc_id) AS doc_id, max(gen)::INT AS gen FROM both_ GROUP BY fingerprint"""
+
+
+@query(f"WITH {WORK_SQL}, {WHOLE_UPSERT_SQL}")
+def cache_upsert_whole(spark, sf):
+    rows = documents_bare(spark, sf).select("fingerprint", F.lit("v1").alias("analyzer"), "doc_id", F.col("doc_id").alias("written"))
+    return cache.upserted(rows.withColumn("gen", F.lit(0)), rows.withColumn("gen", F.lit(1))).select("fingerprint", "doc_id", "gen")
+
+
+@query("""WITH p AS (SELECT 'h' || page_id AS name, url, md5(page_id::VARCHAR) AS h FROM pages),
+    e AS (SELECT name, md5(url) AS checksum FROM p WHERE substr(h, 1, 1) <> '0'), a AS (SELECT name, md5(url || CASE WHEN substr(h, 3, 1) < '3' THEN 'x' ELSE '' END) AS checksum FROM p WHERE substr(h, 2, 1) <> '0')
+    SELECT * FROM (SELECT coalesce(e.name, a.name) AS name, CASE WHEN a.name IS NULL THEN 'missing' WHEN e.name IS NULL THEN 'unexpected' WHEN e.checksum <> a.checksum THEN 'different' END AS state FROM e FULL JOIN a ON e.name = a.name) WHERE state IS NOT NULL""")
+def checksum_verify_whole(spark, sf):
+    p = table(spark, sf, "pages").select(F.concat(F.lit("h"), F.col("page_id").cast("string")).alias("name"), "url", F.md5(F.col("page_id").cast("string")).alias("h"))
+    expected = p.where("substr(h, 1, 1) <> '0'").select("name", F.md5("url").alias("checksum"))
+    actual = p.where("substr(h, 2, 1) <> '0'").select("name", F.md5(F.concat("url", F.when(F.expr("substr(h, 3, 1) < '3'"), "x").otherwise(""))).alias("checksum"))
+    return reports.checksum_mismatches(expected, actual)
+
+
 @query(f"""WITH {WORK_SQL}, d AS (SELECT *, 'f' || (doc_id % 40) || '.txt' AS name, CASE WHEN doc_id % 3 = 0 THEN 'selected' ELSE 'rejected' END AS category FROM work),
     n AS (SELECT *, CASE WHEN category = 'selected' THEN lpad(doc_id::VARCHAR, 4, '0') || '_' || name ELSE name END AS plain FROM d),
     k AS (SELECT *, row_number() OVER (PARTITION BY category, plain ORDER BY doc_id) AS nth FROM n)
