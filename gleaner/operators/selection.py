@@ -107,10 +107,11 @@ def select(candidates: DataFrame, policy: Policy, forced: Sequence[str] = (), ke
         if len(known) < len(set(forced)) or len(forced) > policy.target_count:
             raise ValueError("forced items must be candidates, and no more than the target")
     large = [r.collection for r in sizes.where(F.col("n") > kernel_rows).collect()]  # fewer than rows / kernel_rows
-    small = rows.where(~F.col("collection").isin(*large)) if large else rows
+    is_large = F.when(F.col("collection").isNull(), None in large).otherwise(F.col("collection").isin(*[x for x in large if x is not None]))
+    small = rows.where(~is_large) if large else rows
     out = small.groupBy("collection").applyInPandas(_kernel(policy.weights, policy.target_count, list(forced)), PICKED)
     for i, name in enumerate(large):
-        out = out.union(_by_scans(tables, rows.where(F.col("collection") == name), policy, forced, f"large-{i}"))
+        out = out.union(_by_scans(tables, rows.where(F.col("collection").eqNullSafe(name)), policy, forced, f"large-{i}"))
     return out
 
 

@@ -121,6 +121,18 @@ def test_scans_are_the_kernel(spark):
         selection.select(df, Policy(target_count=1), pdf["path"].tolist()[:2])
 
 
+@pytest.mark.parametrize("large", ["x", None])
+def test_select_null_collection(spark, large):
+    rnd = random.Random(21)
+    both = _candidates(rnd, 28, False)
+    both["collection"] = ([large] * 20 + ["x" if large is None else None] * 8)
+    df = spark.createDataFrame(both.astype(object).where(both.notna(), None), "collection string, path string, quality double, match double, " + ", ".join(f"{b} string" for b in selection.BUCKETS) + ", vec array<double>")
+    policy = Policy(target_count=5)
+    one = {(r.collection, r.path, r.pick) for r in selection.select(df, policy).collect()}
+    two = {(r.collection, r.path, r.pick) for r in selection.select(df, policy, kernel_rows=10).collect()}
+    assert one == two and len(one) == 10
+
+
 def test_gates_order_and_limits(spark):
     rows = [("a", True, 1, 0.9, 0.9), ("b", False, 0, 0.9, 0.9), ("c", False, 2, 0.1, 0.1), ("d", False, 1, 0.71, 0.1), ("e", False, 1, 0.72, 0.29), ("f", False, 1, 0.72, 0.30), ("g", None, None, None, None)]
     df = spark.createDataFrame(rows, "path string, invalid boolean, subjects int, match double, quality double")
