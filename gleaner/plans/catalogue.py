@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 #: No item of the test tables is near enough for a named mode.
 POLICY = Policy(verification="custom", match_threshold=0.55, target_count=8)
+#: The same with the default target; POLICY's is small as its SQL is unrolled pick by pick.
+FULL_POLICY = Policy(verification="custom", match_threshold=0.55)
 
 
 def query(sql: str | None, name: str | None = None):
@@ -415,7 +417,7 @@ def review_diff(spark, sf):
 def curated(spark, sf):
     """The whole flow over the embeddings."""
     i = items(spark, sf).join(tiles(spark, sf), "vec_id").withColumns({"scene_vec": F.slice("vec", 1, 32), "appearance_vec": F.slice("vec", 33, 32)})
-    return curation.reasons(curation.curate(i, references(spark, sf), POLICY)).select("path", "decision", "reason_code", "pick", "value", "duplicate_group", "reasons")
+    return curation.reasons(curation.curate(i, references(spark, sf), FULL_POLICY)).select("path", "decision", "reason_code", "pick", "value", "duplicate_group", "reasons")
 
 
 # calibration and scalar rules

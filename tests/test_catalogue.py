@@ -34,3 +34,9 @@ def test_whole_tables_are_covered(spark):
     states = {r.name: r.state for r in catalogue.QUERIES["checksum_verify_whole"](spark, sf).collect()}
     assert set(states) <= pages and set(states.values()) == {"missing", "unexpected", "different"}
     assert sum(int(name[1:]) >= 90 for name in states) > len(states) / 2
+
+
+def test_curated_makes_all_picks(spark, sf_dir):
+    rows = catalogue.QUERIES["curated"](spark, sf_dir).toPandas()
+    assert sorted(rows["pick"].dropna()) == list(range(1, 101)) or not (rows["reason_code"] == "REDUNDANT").any()
+    assert rows["pick"].count() > 8

@@ -121,6 +121,13 @@ def test_scans_are_the_kernel(spark):
         selection.select(df, Policy(target_count=1), pdf["path"].tolist()[:2])
 
 
+def test_a_hundred_picks(spark):
+    pdf = _candidates(random.Random(6), 130, True)
+    df = spark.createDataFrame(pdf, "collection string, path string, quality double, match double, " + ", ".join(f"{b} string" for b in selection.BUCKETS) + ", vec array<double>").repartition(3)
+    found = [r.path for r in selection.select(df, Policy()).orderBy("pick").collect()]
+    assert len(found) == 100 and found == [pdf["path"][i] if isinstance(i, int) else i for i in _naive(pdf, Policy().weights, 100)]
+
+
 @pytest.mark.parametrize("large", ["x", None])
 def test_select_null_collection(spark, large):
     rnd = random.Random(21)
