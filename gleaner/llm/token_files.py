@@ -21,16 +21,16 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import Workspace, binary_list, in_batches, parallelism
-from .pieces import LETTERS, cut
+from .pieces import LETTERS, spaced
 
 END_ID = 2
 #: Strings whose ids a worker keeps, at some 150 bytes each.
@@ -74,24 +74,39 @@ class WordEncoder(dict):
         found = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in rest], add_special_tokens=False)
         self.update((p, struct.pack(f"<{len(e.ids)}I", *e.ids)) for p, e in zip(rest, found))
 
-    def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
-        """Each text's ids and ``end``, as little-endian uint32."""
-        out = []
-        for a in range(0, len(texts), 64):
-            if len(self) > CACHED_WORDS:
-                self.clear()
-            found = [cut(t) for t in texts[a : a + 64]]
-            flat = list(chain.from_iterable(found))
-            ids = list(map(self.get, flat))
-            new = [i for i, x in enumerate(ids) if x is None]
-            self.learn({flat[i] for i in new})
-            for i in new:
-                ids[i] = self[flat[i]]
-            done = 0
-            for x in found:
-                out.append(b"".join(ids[done : done + len(x)]) + end)
-                done += len(x)
-        return out
+    def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in a row, each text's followed by ``end``, and how many each has.
+
+        Arrow cuts a batch and numbers its distinct strings; only those are looked up one by one.
+        """
+        if len(self) > CACHED_WORDS:
+            self.clear()
+        cut = pc.ascii_split_whitespace(pa.array([spaced(t) for t in texts], pa.binary()).view(pa.string()))
+        flat = cut.flatten().dictionary_encode()
+        strings = _strings(flat.dictionary)
+        ids = list(map(self.get, strings))
+        new = [i for i, x in enumerate(ids) if x is None]
+        self.learn({strings[i] for i in new})
+        for i in new:
+            ids[i] = self[strings[i]]
+        ids.append(struct.pack("<I", end))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first, table = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), np.uint32)
+        at = cut.offsets.to_numpy().astype(np.int64)
+        which = np.insert(flat.indices.to_numpy(), at[1:] - at[0], len(strings))
+        many = sizes[which]
+        done = np.cumsum(many)
+        out = table[np.repeat(first[which] - (done - many), many) + np.arange(done[-1] if len(done) else 0)]
+        last = done[at[1:] - at[0] + np.arange(len(texts))]
+        return out, np.diff(np.r_[0, last])
+
+
+def _strings(words: pa.Array) -> list[bytes]:
+    """The words, none of which holds a space, as bytes; one split is faster than a conversion word by word."""
+    if not len(words):
+        return []
+    row = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+    return pc.binary_join(row, " ")[0].as_buffer().to_pybytes().split(b" ")
 
 
 @cache
@@ -109,12 +124,11 @@ def _encode(path: str, end_id: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, done, words, end = TaskContext.get().partitionId(), 0, encoder(path), np.uint32(end_id).tobytes()
-        for batch in in_batches(batches, "text", 2 << 20):
-            packed = words.encode(binary_list(batch.column("text")), end)
-            sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        part, done, words = TaskContext.get().partitionId(), 0, encoder(path)
+        for batch in in_batches(batches, "text", 4 << 20):
+            flat, sizes = words.encode(binary_list(batch.column("text")), end_id)
             ends = np.cumsum(sizes)
-            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat.view(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(sizes), part, np.int32)), pa.array(done + ends - sizes), pa.array(sizes), ids], ["doc_id", "part", "local_start", "n_tokens", "ids"])
             done += int(ends[-1])
 
@@ -183,15 +197,14 @@ def _write_flat(folder: str, tokenizer: str, end_id: int, dtype: str):
         task = TaskContext.get()
         store, path = _files(folder)
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.bin"
-        words, end, count = encoder(tokenizer), np.uint32(end_id).tobytes(), 0
+        words, count = encoder(tokenizer), 0
         with store.open_output_stream(f"{path}/{name}") as out:
-            for batch in in_batches(batches, "text", 2 << 20):
-                packed = words.encode(binary_list(batch.column("text")), end)
-                ids = np.frombuffer(b"".join(packed), "<u4")
-                if np.count_nonzero(ids == end_id) != len(packed):
+            for batch in in_batches(batches, "text", 4 << 20):
+                ids, sizes = words.encode(binary_list(batch.column("text")), end_id)
+                n = len(sizes)
+                if np.count_nonzero(ids == end_id) != n:
                     raise ValueError(f"a text holds the end id {end_id}")
                 out.write(ids.astype(dtype).tobytes())
-                n = len(packed)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(count, count + n)), batch.column("doc_id")], ["file", "doc_no", "doc_id"])
                 count += n
 
