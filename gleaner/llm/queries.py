@@ -61,8 +61,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shards and places: where the tree puts each copy that is taken."""
     planned = mixing.plan(documents(spark, sf_dir))
-    return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+    return planned.select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"),
+        F.transform("draws", lambda d: d["shard"]).alias("shards"), F.transform("draws", lambda d: d["place"]).alias("places"))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -370,7 +370,7 @@ def test_bpe_is_the_library(tokenizer):
         found = [own.cache[p] for p in own.words([text.encode()])[0]]
         assert b" ".join(f[1] for f in found if f[1]).decode() == " ".join(map(str, wanted))
         assert b" ".join(f[2] for f in found if f[2]).decode() == tokenizer.decode(wanted, skip_special_tokens=False)
-        assert np.frombuffer(words.encode([text.encode()], b"")[0], np.uint32).tolist() == wanted
+        assert [x.tolist() for x in words.encode([text.encode()], 2)] == [[*wanted, 2], [len(wanted) + 1]]
 
 
 def test_bpe_parts():
@@ -406,26 +406,113 @@ def test_split_quotas():
     assert (found == mixing.split_quotas(quotas, 6)).all()
 
 
-def test_mixing(docs):
-    rows = mixing.plan(docs, block_words=50, shards=4).collect()
-    words = {i: len(re.findall("[^\x20\x09-\x0d]+", t or "")) for i, t in texts()}
-    by_source = defaultdict(list)
-    for r in rows:
-        assert r.size == words[r.doc_id] and len(r.draws) <= 3 and all(0 <= d.shard < 4 for d in r.draws)
-        by_source[r.source].append(r)
-    order = sorted(by_source, key=lambda s: (s is None, s or ""))
-    goal = mixing.targets([sum(r.size for r in by_source[s]) for s in order], [(1, 2, 3)[i % 3] for i in range(len(order))])
-    for s, t in zip(order, goal):
-        own = by_source[s]
-        assert {r.source_size for r in own} == {sum(r.size for r in own)} and {r.target for r in own} == {t}
-        assert abs(sum(r.size * len(r.draws) for r in own) - t) <= max(r.size for r in own) / 2
-    again = {(r.doc_id, tuple((d.shard, d.place) for d in r.draws)) for r in mixing.plan(docs.repartition(5), block_words=50, shards=4).collect()}
-    assert again == {(r.doc_id, tuple((d.shard, d.place) for d in r.draws)) for r in rows}
+def test_split_quotas_is_hypergeometric():
+    """Over many seeds the first shard's mean share is the quotas' share, with the sampling variance of draws without return."""
+    quotas, n = np.array([60, 30, 10]), 4
+    found = np.array([mixing.split_quotas(quotas, n, seed)[0] for seed in range(3000)])
+    assert found.mean(axis=0) == pytest.approx(quotas / n, abs=0.15)
+    p = quotas / 100
+    assert found.var(axis=0) == pytest.approx(25 * p * (1 - p) * 75 / 99, rel=0.12)
+
+
+def brute_mix(rows: list[tuple[int | None, str | None, str | None]], block_words: int, weights=(1, 2, 3), repeats: int = 3):
+    """(source, quota, blocks) of each source and, of each distinct (doc_id, text, source), the (pass, block) of its draws."""
+    xx = xxhash.xxh64_intdigest
+    units: dict = {}
+    for i, text, source in rows:
+        tie = 42 if text is None else xx(text.encode(), 42)
+        key = xx(struct.pack("<i", 42), 42)
+        key = key if i is None else xx(struct.pack("<q", i), key)
+        unit = units.setdefault((i, text, source), [xx(struct.pack("<Q", tie), key), 0])
+        unit[1] += len(re.findall("[^\x20\x09-\x0d]+", text or ""))
+    order = sorted({u[2] for u in units}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(w for u, (_, w) in units.items() if u[2] == s) for s in order]
+    draws, quotas = {}, []
+    for s, size, goal in zip(order, sizes, mixing.targets(sizes, [weights[k % 3] for k in range(len(order))], repeats)):
+        own = sorted((key, u, w) for u, (key, w) in units.items() if u[2] == s)
+        passes = min(repeats, int(goal // size)) if size else 0
+        rest, before, extra = goal - passes * size, 0, set()
+        for _, u, w in own:
+            before += w
+            if rest > 0 and before <= rest:
+                extra.add(u)
+        gap = max(0.0, rest - sum(w for _, u, w in own if u in extra))
+        ahead, more = 0, set()
+        for _, u, w in own:
+            if u not in extra and 0 < w <= gap:
+                ahead += w
+                if ahead <= gap:
+                    more.add(u)
+        extra |= more
+        gap = max(0.0, rest - sum(w for _, u, w in own if u in extra))
+        blocks = max(1, size // block_words)
+        block = {u: (key >> 32) * blocks >> 32 for key, u, _ in own}
+        used, tops = max((block[u] + 1 for u in extra), default=0), set()
+        for step in range(6):
+            fits = [(abs(gap - w), key, u, w) for key, u, w in own if u not in extra | tops and w and (w <= gap if step < 5 else abs(gap - w) < gap)]
+            if fits:
+                _, _, u, w = min(fits, key=lambda x: x[:2])
+                tops.add(u)
+                gap = max(0.0, gap - w)
+        used = max(used, int(bool(tops)))
+        quotas.append((s, passes * blocks + used, blocks))
+        for _, u, _ in own:
+            last = [(passes, min(block[u], used - 1))] if u in extra | tops else []
+            draws[u] = [(k, block[u]) for k in range(passes)] + last
+    return quotas, draws
+
+
+def mix_rows(docs):
+    return [(r.doc_id, r.text, r.source) for r in docs.collect()]
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_mixing(spark, docs, repeated):
+    if repeated:
+        docs = docs.unionByName(docs.where("doc_id > 20").withColumn("source", F.when(F.col("doc_id") % 2 == 0, "s1").otherwise(F.col("source")))).unionByName(docs.where("doc_id % 7 = 0").withColumn("doc_id", F.lit(None).cast("long")))
+    rows, given = mixing.plan(docs, block_words=50, shards=4).collect(), mix_rows(docs)
+    quotas, wanted = brute_mix(given, 50)
+    known = Counter((i, s, len(re.findall("[^\x20\x09-\x0d]+", t or "")), tuple(wanted[i, t, s])) for i, t, s in given)
+    assert Counter((r.doc_id, r.source, r["size"], tuple((d["pass"], d.block) for d in r.draws)) for r in rows) == known
+    ends = np.cumsum(mixing.split_quotas(np.array([q for _, q, _ in quotas]), 4), axis=0)
+    blocks = {s: (k, b) for k, (s, _, b) in enumerate(quotas)}
+    for r in rows:  # each draw of a block is one shard's, by the tree
+        k, b = blocks[r.source]
+        assert [d.shard for d in r.draws] == [int((ends[:, k] <= d["pass"] * b + d.block).sum()) for d in r.draws] and len(r.draws) <= 3
+    order = [s for s, _, _ in quotas]
+    sizes = [sum(r["size"] for r in rows if r.source == s) for s in order]
+    goal = mixing.targets(sizes, [(1, 2, 3)[i % 3] for i in range(len(order))])
+    for s, size, t in zip(order, sizes, goal):
+        own = [r for r in rows if r.source == s]
+        assert {(r.source_size, r.target) for r in own} == {(size, t)}
+        assert repeated or abs(sum(r["size"] * len(r.draws) for r in own) - t) <= max(r["size"] for r in own) / 2
+    again = Counter((r.doc_id, tuple((d.shard, d.place) for d in r.draws)) for r in mixing.plan(docs.repartition(5), block_words=50, shards=4).collect())
+    assert again == Counter((r.doc_id, tuple((d.shard, d.place) for d in r.draws)) for r in rows)
     mixed = mixing.mix(docs, block_words=50, shards=4)
-    assert Counter(r.doc_id for r in mixed.collect()) == {r.doc_id: len(r.draws) for r in rows if r.draws}
+    assert Counter((r.doc_id, r.source) for r in mixed.collect()) == sum((Counter({(r.doc_id, r.source): len(r.draws)}) for r in rows if r.draws), Counter())
     assert set(docs.columns) <= set(mixed.columns)
 
 
+def test_mix_is_written_shuffled(spark, docs, tmp_path):
+    assert mixing.shuffled(docs, block_words=50, shards=4).columns == docs.columns
+    mixing.write_mix(docs, f"file://{tmp_path}/mix", block_words=50, shards=4)
+    back = spark.read.parquet(f"file://{tmp_path}/mix")
+    wanted = Counter((r.doc_id, r._mix_shard) for r in mixing.mix(docs, block_words=50, shards=4).collect())
+    assert Counter((r.doc_id, r._mix_shard) for r in back.collect()) == wanted
+    import glob
+
+    import pyarrow.parquet as pq
+
+    for f in glob.glob(f"{tmp_path}/mix/*/*.parquet"):
+        places = [x % (1 << 64) >> 1 for x in pq.ParquetFile(f).read(columns=["_mix_place"])["_mix_place"].to_pylist()]
+        assert places == sorted(places)
+
+
+def test_shard_count():
+    assert mixing.shard_count(0, 0) == 16 and mixing.shard_count(800_000_000, 3) == 100
+    assert mixing.shard_count(10**14, 1000) == mixing.CELLS // 1000 and mixing.shard_count(10**14, 10**7) == 16
+
+
 # 10 SimHash
 
 
