@@ -25,8 +25,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, none of them or up to three times."""
-    return mixing.mix(docs).select(*docs.columns)
+    """Documents as often as the mix takes them, none of them or up to three times, by shard and shuffled in it."""
+    return mixing.shuffled(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
