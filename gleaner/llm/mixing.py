@@ -127,7 +127,7 @@ def units(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = RE
     ws = Workspace(docs.sparkSession, "mix")
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     bare = docs.select("doc_id", "source", words.alias("size"), F.xxhash64("text").alias("tie"))
-    rows = ws.save(bare.groupBy("doc_id", "source", "size", "tie").agg(F.count(F.lit(1)).alias("n")).withColumns({"key": F.xxhash64(F.lit(seed), "doc_id", "tie"), "words": F.col("n") * F.col("size")}), "rows")
+    rows = ws.save(bare.groupBy("doc_id", "source", "size", "tie").agg(F.count(F.lit(1)).alias("n")).withColumns({"key": F.xxhash64(F.lit(seed), "doc_id", "tie"), "words": F.col("n") * F.col("size")}), "rows", small=True)
     found = rows.groupBy("source").agg(F.sum("words").alias("size")).collect()  # one row for each source
     found.sort(key=lambda r: (r.source is None, [ord(c) for c in r.source or ""]))
     sizes = [r["size"] for r in found]
@@ -141,14 +141,14 @@ def units(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = RE
     # the permuted order: a document of the last pass is taken if it ends before the target
     drawn = ws.save(
         ranked_sums(known, ["source"], "key", "words", "before").withColumn("block", block)
-        .withColumn("extra", (F.col("rest") > 0) & (F.col("before") + F.col("words") <= F.col("rest"))), "drawn")
+        .withColumn("extra", (F.col("rest") > 0) & (F.col("before") + F.col("words") <= F.col("rest"))), "drawn", small=True)
     gap = _missing(drawn, found, goal, passes)
     for step in range(REFILLS):  # documents that fit into what a larger one left open, in the same order
         gaps = ws.spark.createDataFrame(list(gap.items()), "of string, gap double")
         fits = drawn.join(F.broadcast(gaps), F.col("source").eqNullSafe(F.col("of"))).drop("of")
         fits = fits.withColumn("fit", F.when(~F.col("extra") & (F.col("words") <= F.col("gap")), F.col("words")).otherwise(0))
         more = (F.col("fit") > 0) & (F.col("ahead") + F.col("fit") <= F.col("gap"))
-        drawn = ws.save(ranked_sums(fits, ["source"], "key", "fit", "ahead").withColumn("extra", F.col("extra") | more).drop("fit", "ahead", "gap"), f"drawn-{step}")
+        drawn = ws.save(ranked_sums(fits, ["source"], "key", "fit", "ahead").withColumn("extra", F.col("extra") | more).drop("fit", "ahead", "gap"), f"drawn-{step}", small=True)
         gap = _missing(drawn, found, goal, passes)
     ended = {r.source: r.n for r in drawn.where("extra").groupBy("source").agg((F.max("block") + 1).alias("n")).collect()}  # one row for each source
     tops: list[tuple] = []  # at most TOPS documents for each source
@@ -172,7 +172,7 @@ def units(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = RE
     own_top = F.col("key").eqNullSafe(F.col("top_key")) & F.col("source").eqNullSafe(F.col("top_source")) & F.col("doc_id").eqNullSafe(F.col("top_id")) & (F.col("tie") == F.col("top_tie"))
     rated = rated.join(F.broadcast(ws.spark.createDataFrame(tops, TOP).distinct()), own_top, "left").withColumn("extra", F.col("extra") | F.col("top_key").isNotNull())
     asked = rated.select("doc_id", "tie", "source", "size", "n", "source_size", "target", "place", "passes", "blocks", "block", "final", "key", "extra")
-    return gathered(asked).mapInArrow(_draw(ws.spark.sparkContext.broadcast(ends), seed), DRAWN)
+    return gathered(asked, 1).mapInArrow(_draw(ws.spark.sparkContext.broadcast(ends), seed), DRAWN)
 
 
 def plan(docs: DataFrame, **options) -> DataFrame:
