@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,15 @@ def hamming(a: Column, b: Column) -> Column:
     return (F.bit_count(high(a).bitwiseXOR(high(b))) + F.bit_count(low(a).bitwiseXOR(low(b)))).cast("int")
 
 
+def packed(h: Column) -> Column:
+    """The hash as one signed 64-bit number."""
+    return F.shiftleft(high(h), 32).bitwiseOR(low(h))
+
+
+def unpacked(number: Column) -> Column:
+    return F.lower(F.lpad(F.hex(number), 16, "0"))
+
+
 def hex_halves(hi: Column, lo: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(hi), 8, "0"), F.lpad(F.hex(lo), 8, "0")))
 
@@ -69,3 +81,44 @@ def block_keys(h: Column, radius: int) -> Column:
             value = F.shiftright(lo, at).bitwiseOR(F.shiftleft(hi.bitwiseAND((1 << (at + w - 32)) - 1), 32 - at)).cast("string")
         keys.append(F.struct(F.lit(i).alias("block"), value.alias("key")))
     return F.array(*keys)
+
+
+def piece_masks(pieces: int) -> list[int]:
+    """The 64 bits cut into pieces of nearly equal width, each as a signed 64-bit mask."""
+    cuts = [round(64 * i / pieces) for i in range(pieces + 1)]
+    masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:])]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def piece_scheme(hashes: int, radius: int, most: int = 6) -> tuple[int, int]:
+    """(pieces, pieces in a key) that give ``hashes`` distinct hashes the least work: rows to shuffle and candidates to compare.
+
+    Hashes within ``radius`` bits differ in that many of radius + k pieces at most, so they agree on some choice of k pieces.
+    A row counts as ROW_COST candidates.
+    """
+    def work(k: int) -> float:
+        return comb(radius + k, k) * (ROW_COST * hashes + hashes * hashes / 2 ** (1 + 64 * k / (radius + k)))
+
+    best = min(range(1, most + 1), key=work)
+    return radius + best, best
+
+
+#: Candidates that take as long to compare as one keyed row takes to make and shuffle.
+ROW_COST = 20
+
+
+def piece_keys(number: Column, pieces: int, agree: int) -> Column:
+    """An array of (pick, below, part): for each choice of pieces its bit mask, all pieces up to its last one, and the hash's bits there."""
+    masks, keys = piece_masks(pieces), []
+    for choice in combinations(range(pieces), agree):
+        mask = sum(masks[i] for i in choice)
+        keys.append(F.struct(F.lit(sum(1 << i for i in choice)).alias("pick"), F.lit((2 << choice[-1]) - 1).alias("below"), number.bitwiseAND(F.lit(mask)).alias("part")))
+    return F.array(*keys)
+
+
+def agreed(difference: Column, pieces: int) -> Column:
+    """The pieces, as a bit mask, in which two hashes with this exclusive or agree."""
+    out = F.lit(0)
+    for i, mask in enumerate(piece_masks(pieces)):
+        out = out + F.when(difference.bitwiseAND(F.lit(mask)) == 0, 1 << i).otherwise(0)
+    return out

@@ -1,9 +1,11 @@
 """Exact and near duplicates.
 
 Near duplicates are found in priority order (quality descending, path ascending): an item joins the earliest
-*representative* within the radius, or becomes a representative.  That is the lexicographically first maximal
+*representative* within the radius, or becomes a representative.  Items with one hash are one node, as all that is compared
+is the hash: the first of them decides for all.  The rest is the lexicographically first maximal
 independent set of the within-radius graph, found in a few parallel rounds (Blelloch, Fineman and Shun, SPAA 2012).
-Candidates come from an exact block index: hashes within r bits share one of r + 1 disjoint blocks.
+Candidates come from an exact index of pieces of the hash: hashes within r bits agree on some choice of k among
+r + k pieces, and k follows the number of hashes.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashes import block_keys, hamming
+from ..functions.hashes import agreed, hamming, packed, piece_keys, piece_scheme, unpacked
 from ..sources.store import Tables
 
 
@@ -22,52 +24,68 @@ def exact(items: DataFrame) -> DataFrame:
 
 
 def close_hashes(hashes: DataFrame, radius: int) -> DataFrame:
-    """(a, b) with a < b of distinct hashes within the radius; ``hashes``: (hash), distinct, none empty."""
-    keyed = hashes.select("hash", F.inline(block_keys(F.col("hash"), radius)))
-    left, right = keyed.select(F.col("hash").alias("a"), "block", "key"), keyed.select(F.col("hash").alias("b"), "block", "key")
-    return left.join(right, ["block", "key"]).where("a < b").select("a", "b").where(hamming(F.col("a"), F.col("b")) <= radius).distinct()
+    """(a, b) with a < b of distinct hashes within the radius; ``hashes``: (hash), distinct, none empty, cheap to read twice.
+
+    A pair is given once, where its first choice of agreeing pieces meets, so nothing has to be made distinct afterwards.
+    """
+    pieces, agree = piece_scheme(hashes.count(), radius)
+    keyed = hashes.select(packed(F.col("hash")).alias("h")).select("h", F.inline(piece_keys(F.col("h"), pieces, agree)))
+    left, right = keyed.select("pick", "part", "below", F.col("h").alias("x")), keyed.select("pick", "part", F.col("h").alias("y"))
+    differ = F.col("x").bitwiseXOR(F.col("y"))
+    first = agreed(differ, pieces).bitwiseAND(F.col("below")) == F.col("pick")
+    pairs = left.join(right, ["pick", "part"]).where("x < y").where(F.bit_count(differ) <= radius).where(first)
+    x, y = unpacked(F.col("x")), unpacked(F.col("y"))
+    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+
+def hash_classes(items: DataFrame, key: str) -> DataFrame:
+    """(key, hash, class_id) of items (key, hash) with a hash: items with one hash are a class, named by the smallest key."""
+    filled = items.where("hash <> ''").select(key, "hash")
+    return filled.join(filled.groupBy("hash").agg(F.min(key).alias("class_id")), "hash").select(key, "hash", "class_id")
 
 
 def hamming_pairs(items: DataFrame, key: str, radius: int) -> DataFrame:
-    """(left_id, right_id, distance) of all items within the radius, equal hashes too; ``items``: (key, hash)."""
-    filled = items.where("hash <> ''")
-    close = close_hashes(filled.select("hash").distinct(), radius)
-    same = filled.select("hash").distinct().select(F.col("hash").alias("a"), F.col("hash").alias("b"))
-    both = close.union(close.select("b", "a")).union(same)
-    left, right = filled.select(F.col(key).alias("left_id"), F.col("hash").alias("a")), filled.select(F.col(key).alias("right_id"), F.col("hash").alias("b"))
-    return left.join(both, "a").join(right, "b").where("left_id < right_id").select("left_id", "right_id", hamming(F.col("a"), F.col("b")).alias("distance"))
+    """(left_id, right_id, distance) of all classes of ``hash_classes`` within the radius; copies aren't expanded into pairs."""
+    tables = Tables(items.sparkSession, "pairs")
+    heads = tables.save(items.where("hash <> ''").groupBy("hash").agg(F.min(key).alias("id")), "heads")
+    close = tables.save(close_hashes(heads.select("hash"), radius), "close")  # its size is known only when it is written
+    both = close.join(heads.select(F.col("hash").alias("a"), F.col("id").alias("p")), "a").join(heads.select(F.col("hash").alias("b"), F.col("id").alias("q")), "b")
+    return both.select(F.least("p", "q").alias("left_id"), F.greatest("p", "q").alias("right_id"), hamming(F.col("a"), F.col("b")).alias("distance"))
 
 
 def near(items: DataFrame, radius: int | None) -> DataFrame:
     """(path, duplicate_of, group_id) for every item (path, fingerprint, hash, quality).
 
     duplicate_of: the representative's path, null for representatives; group_id: its fingerprint, null where
-    nothing joined.  An empty hash, or no radius, matches exactly only.
+    nothing joined.  An empty or null hash, or no radius, matches exactly only.
     """
     tables = Tables(items.sparkSession, "near")
     order = F.struct((-F.col("quality")).alias("q"), F.col("path").alias("p"))
     ranked = tables.save(items.select("path", "fingerprint", F.coalesce("hash", F.lit("")).alias("hash"), order.alias("rank")), "items")
     # equal bytes have equal hashes and quality, so copies follow their first
-    nodes = tables.save(ranked.groupBy("fingerprint").agg(F.min("rank").alias("rank"), F.min_by("hash", "rank").alias("hash")), "nodes")
+    nodes = tables.save(ranked.groupBy("fingerprint").agg(F.min("rank").alias("rank"), F.min_by("hash", "rank").alias("hash"), F.count(F.lit(1)).alias("rows")), "nodes")
+    heads = nodes.select(F.col("fingerprint").alias("rep"), F.col("rank.p").alias("rep_path"))
     if radius is None:
-        joined = nodes.select("fingerprint", F.lit(None).cast("string").alias("rep"))
+        owner = nodes.select("fingerprint", "rows", F.col("fingerprint").alias("rep"))
     else:
-        joined = _representatives(tables, nodes, radius)
-    owner = tables.save(nodes.join(joined.where("rep is not null"), "fingerprint", "left").select("fingerprint", "rank", F.coalesce("rep", "fingerprint").alias("rep")), "owner")
-    heads = nodes.select(F.col("fingerprint").alias("rep"), F.col("rank.p").alias("rep_path"))
-    sizes = ranked.join(owner.select("fingerprint", "rep"), "fingerprint").groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
+        classes = tables.save(nodes.where("hash <> ''").groupBy("hash").agg(F.min("rank").alias("rank"), F.min_by("fingerprint", "rank").alias("head")), "classes")
+        lead = classes.join(_representatives(tables, classes, radius), "hash", "left").select("hash", F.coalesce("lead", "hash").alias("lead"))
+        led = lead.join(classes.select(F.col("hash").alias("lead"), F.col("head").alias("rep")), "lead").select("hash", "rep")
+        owner = nodes.join(led, "hash", "left").select("fingerprint", "rows", F.coalesce("rep", "fingerprint").alias("rep"))
+    owner = tables.save(owner, "owner")
+    sizes = owner.groupBy("rep").agg(F.sum("rows").alias("size"))
     placed = ranked.join(owner.select("fingerprint", "rep"), "fingerprint").join(heads.join(sizes, "rep"), "rep")
     return placed.select("path", F.when(F.col("path") != F.col("rep_path"), F.col("rep_path")).alias("duplicate_of"), F.when(F.col("size") > 1, F.col("rep")).alias("group_id"))
 
 
-def _representatives(tables: Tables, nodes: DataFrame, radius: int) -> DataFrame:
-    """(fingerprint, rep): the representative of each node that is none itself."""
-    filled = nodes.where("hash <> ''")
-    hashes = filled.select("hash").distinct()
-    close = close_hashes(hashes, radius)
-    pairs = close.union(close.select("b", "a")).union(hashes.select(F.col("hash").alias("a"), F.col("hash").alias("b")))
-    side = lambda n: filled.select(F.col("hash").alias("ab"[n]), F.col("fingerprint").alias("uv"[n]), F.col("rank").alias(("u_rank", "v_rank")[n]))
-    edges = tables.save(pairs.join(side(0), "a").join(side(1), "b").where("u_rank < v_rank").select("u", "v", "u_rank"), "edges")
+def _representatives(tables: Tables, classes: DataFrame, radius: int) -> DataFrame:
+    """(hash, lead): for each hash that is no representative's the hash of its representative; ``classes``: hash, rank."""
+    pairs = tables.save(close_hashes(classes.select("hash"), radius), "close")
+    side = lambda n: classes.select(F.col("hash").alias("ab"[n]), F.col("rank").alias(f"rank_{'ab'[n]}"))
+    ranked = pairs.join(side(0), "a").join(side(1), "b")
+    earlier = F.col("rank_a") < F.col("rank_b")
+    pick = lambda x, y: F.when(earlier, F.col(x)).otherwise(F.col(y))
+    edges = tables.save(ranked.select(pick("a", "b").alias("u"), pick("b", "a").alias("v"), pick("rank_a", "rank_b").alias("u_rank")), "edges")
     open_, out, step = edges.select("u", "v"), None, 0
     while not open_.isEmpty():
         heads = open_.select("u").distinct().join(open_.select(F.col("v").alias("u")).distinct(), "u", "left_anti")
@@ -77,9 +95,9 @@ def _representatives(tables: Tables, nodes: DataFrame, radius: int) -> DataFrame
         open_ = tables.save(left.select("u", "v"), f"open-{step}")
         step += 1
     if out is None:
-        return nodes.select("fingerprint", F.lit(None).cast("string").alias("rep")).limit(0)
+        return classes.select("hash", F.col("hash").alias("lead")).limit(0)
     heads = edges.join(out.select(F.col("v").alias("u")), "u", "left_anti")
-    return heads.join(out, "v").groupBy(F.col("v").alias("fingerprint")).agg(F.min_by("u", "u_rank").alias("rep"))
+    return heads.join(out, "v").groupBy(F.col("v").alias("hash")).agg(F.min_by("u", "u_rank").alias("lead"))
 
 
 def peers(items: DataFrame, path: str) -> DataFrame:

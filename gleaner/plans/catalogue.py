@@ -196,9 +196,17 @@ def block_index(spark, sf):
     return documents(spark, sf).select("doc_id", F.inline(block_keys(F.col("hash"), 8)))
 
 
+CLASSES_SQL = "classes AS MATERIALIZED (SELECT hash, any_value(hi) AS hi, any_value(lo) AS lo, min(doc_id) AS class_id FROM docs GROUP BY hash)"
+
+
+@query(f"WITH {DOCS_SQL}, {CLASSES_SQL} SELECT doc_id, docs.hash, class_id FROM docs JOIN classes ON docs.hash = classes.hash")
+def hash_classes(spark, sf):
+    return duplicates.hash_classes(documents(spark, sf), "doc_id")
+
+
 def _pairs_sql(radius: int) -> str:
-    return f"""WITH {DOCS_SQL} SELECT a.doc_id AS left_id, b.doc_id AS right_id, (bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)))::INT AS distance
-        FROM docs a JOIN docs b ON a.doc_id < b.doc_id AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= {radius}"""
+    return f"""WITH {DOCS_SQL}, {CLASSES_SQL} SELECT a.class_id AS left_id, b.class_id AS right_id, (bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)))::INT AS distance
+        FROM classes a JOIN classes b ON a.class_id < b.class_id AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= {radius}"""
 
 
 for _r in (8, 4):
