@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_or_zero
-from ..plans.policy import TERMS, Policy
+from ..plans.policy import TERMS, Choice
 from ..sources.store import Tables
 
 KERNEL_ROWS = 200_000
@@ -93,7 +93,7 @@ def _kernel(weights: Sequence[float], target: int, forced: Sequence[str]):
     return run
 
 
-def select(candidates: DataFrame, policy: Policy, forced: Sequence[str] = (), kernel_rows: int = KERNEL_ROWS) -> DataFrame:
+def select(candidates: DataFrame, choice: Choice, forced: Sequence[str] = (), kernel_rows: int = KERNEL_ROWS) -> DataFrame:
     """(collection, path, pick, value and its parts) of the chosen; ``forced`` paths come first, in their order.
 
     ``candidates``: collection, path, quality, match, the five buckets and vec.  A target of 0 or less chooses none.
@@ -104,25 +104,26 @@ def select(candidates: DataFrame, policy: Policy, forced: Sequence[str] = (), ke
     sizes = rows.groupBy("collection").agg(F.count(F.lit(1)).alias("n"))
     if forced:
         known = {r.path for r in rows.where(F.col("path").isin(*forced)).select("path").collect()}  # as many as were forced
-        if len(known) < len(set(forced)) or len(forced) > policy.target_count:
+        if len(known) < len(set(forced)) or len(forced) > choice.count:
             raise ValueError("forced items must be candidates, and no more than the target")
     large = [r.collection for r in sizes.where(F.col("n") > kernel_rows).collect()]  # fewer than rows / kernel_rows
     is_large = F.when(F.col("collection").isNull(), None in large).otherwise(F.col("collection").isin(*[x for x in large if x is not None]))
     small = rows.where(~is_large) if large else rows
-    out = small.groupBy("collection").applyInPandas(_kernel(policy.weights, policy.target_count, list(forced)), PICKED)
+    out = small.groupBy("collection").applyInPandas(_kernel(choice.weights, choice.count, list(forced)), PICKED)
     for i, name in enumerate(large):
-        out = out.union(_by_scans(tables, rows.where(F.col("collection").eqNullSafe(name)), policy, forced, f"large-{i}"))
+        out = out.union(_by_scans(tables, rows.where(F.col("collection").eqNullSafe(name)), choice, forced, f"large-{i}"))
     return out
 
 
-def _by_scans(tables: Tables, rows: DataFrame, policy: Policy, forced: Sequence[str], name: str, keep: int = 8) -> DataFrame:
+def _by_scans(tables: Tables, rows: DataFrame, choice: Choice, forced: Sequence[str], name: str, keep: int = 8) -> DataFrame:
     """The same picks by one distributed maximum for each; similarities so far are written every ``keep`` picks."""
     spark = rows.sparkSession
     state, fresh, chosen, counts, picks = tables.save(rows.withColumn("near", F.lit(0.0)), f"{name}-0"), [], [], [Counter() for _ in BUCKETS], []
-    left = list(forced)
-    total = rows.count()
+    own = {r.path for r in rows.where(F.col("path").isin(*forced)).select("path").collect()} if forced else set()  # as many as were forced
+    left = [p for p in forced if p in own]
+    total, collection = rows.count(), rows.first().collection
     key = lambda b: F.when(F.coalesce(b, F.lit("")) == "", "unknown").otherwise(F.col(b))
-    while len(picks) < min(policy.target_count, total):
+    while len(picks) < min(choice.count, total):
         near = F.greatest("near", *[F.round(cosine_or_zero(F.col("vec"), F.array(*[F.lit(float(x)) for x in v])), 6) for v in fresh]) if fresh else F.col("near")
         novelty = []
         for b, c in zip(BUCKETS, counts):
@@ -132,13 +133,13 @@ def _by_scans(tables: Tables, rows: DataFrame, policy: Policy, forced: Sequence[
             novelty.append(term)
         terms = [F.col("quality"), F.col("match"), 1.0 - near, *novelty]
         value = F.lit(0.0)
-        for w, t in zip(policy.weights, terms):
+        for w, t in zip(choice.weights, terms):
             value = value + w * t
         open_ = state.where(~F.col("path").isin(*chosen)) if chosen else state
         if left:
             open_ = open_.where(F.col("path") == left.pop(0))
         best = open_.select("path", "vec", *[key(b).alias(b) for b in BUCKETS], value.alias("value"), *[t.alias(f"{n}_t") for n, t in zip(TERMS, terms)]).orderBy(F.desc("value"), "path").first()
-        picks.append((rows.first().collection if not picks else picks[0][0], best.path, len(picks) + 1, round(best.value * 100, 3), *[round(w * best[f"{n}_t"] * 100, 3) for w, n in zip(policy.weights, TERMS)]))
+        picks.append((collection, best.path, len(picks) + 1, round(best.value * 100, 3), *[round(w * best[f"{n}_t"] * 100, 3) for w, n in zip(choice.weights, TERMS)]))
         chosen.append(best.path)
         if best.vec:
             fresh.append(list(best.vec))

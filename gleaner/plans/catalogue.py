@@ -14,14 +14,14 @@ from ..operators import calibration, clusters, duplicates, gates, matching, prog
 from ..sources import cache, files, journal, reports
 from . import curation
 from .fixtures import DOCS_SQL, ITEMS_SQL, MATCHED_SQL, REFS_SQL, TARGET_SQL, documents, items, references, table, tiles
-from .policy import PROFILES, Policy
+from .policy import PROFILES, Choice, Limits, Policy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 #: No item of the test tables is near enough for a named mode.
-POLICY = Policy(verification="custom", match_threshold=0.55, target_count=8)
-#: The same with the default target; POLICY's is small as its SQL is unrolled pick by pick.
-FULL_POLICY = Policy(verification="custom", match_threshold=0.55)
+LIMITS, EIGHT = Limits(match=0.55), Choice(8)
+#: The whole flow chooses the default hundred; EIGHT is small as its SQL is unrolled pick by pick.
+FULL_POLICY = Policy(LIMITS)
 
 
 def query(sql: str | None, name: str | None = None):
@@ -288,7 +288,7 @@ GATED_SQL = f"""{MATCHED_SQL}, gated AS (
 
 
 def _gated(spark, sf):
-    return gates.gated(matching.scored(items(spark, sf), references(spark, sf)), POLICY)
+    return gates.gated(matching.scored(items(spark, sf), references(spark, sf)), LIMITS)
 
 
 @query(f"WITH {GATED_SQL} SELECT vec_id, reason_code FROM gated", "gates")
@@ -314,9 +314,9 @@ def pose_cluster(spark, sf):
     return items(spark, sf).select("vec_id", S.pose_cell(F.col("yaw"), F.col("pitch")).alias("cell"))
 
 
-SIGNATURE_SQL = """{name} AS (
-    SELECT vec_id, lower(printf('%02x', sum(CASE WHEN part >= whole - 1e-15 THEN 1 << b ELSE 0 END)::BIGINT)) AS sig FROM (
-        SELECT vec_id, b, avg(v) AS part, any_value(whole) AS whole FROM (SELECT vec_id, unnest({v}) AS v, ((generate_subscripts({v}, 1) - 1) % 6)::INT AS b, list_avg({v}) AS whole FROM items) GROUP BY vec_id, b) GROUP BY vec_id)"""
+_MEAN_SQL = "list_reduce({x}, lambda a, b: a + b) / len({x})"
+SIGNATURE_SQL = "{name} AS (SELECT vec_id, lower(printf('%02x', (" + " + ".join(
+    f"CASE WHEN {_MEAN_SQL.format(x=f'list_filter({{v}}, lambda x, i: (i - 1) % 6 = {b})')} >= {_MEAN_SQL.format(x='{v}')} THEN {1 << b} ELSE 0 END" for b in range(6)) + ")::BIGINT)) AS sig FROM items)"
 _SCENE, _APPEARANCE = "vec[1:32]", "vec[33:64]"
 
 
@@ -346,7 +346,7 @@ def session_cluster(spark, sf):
 
 
 def _candidates(spark, sf):
-    gated = gates.gated(matching.scored(_clustered(spark, sf), references(spark, sf)), POLICY)
+    gated = gates.gated(matching.scored(_clustered(spark, sf), references(spark, sf)), LIMITS)
     return gated.where("reason_code is null").withColumn("vec", F.col("visual_vec"))
 
 
@@ -368,7 +368,7 @@ def _select_sql(profile: str, picks: int, forced: tuple[str, ...] = (), where: s
 
 for _profile in PROFILES:
     query(_select_sql(_profile, 8), f"select_{_profile}")(
-        lambda spark, sf, p=_profile: selection.select(_candidates(spark, sf), Policy(verification="custom", match_threshold=0.55, target_count=8, profile=p)).select("path", "pick", "value"))
+        lambda spark, sf, p=_profile: selection.select(_candidates(spark, sf), Choice(8, PROFILES[p])).select("path", "pick", "value"))
 
 
 @query(_select_sql("balanced", 8, ("SELECT path FROM cand ORDER BY quality, path LIMIT 1", "SELECT path FROM cand ORDER BY quality, path LIMIT 1 OFFSET 1")))
@@ -376,15 +376,15 @@ def select_forced(spark, sf):
     """The two candidates with the lowest quality are put in first."""
     cand = _candidates(spark, sf)
     forced = [r.path for r in cand.orderBy("quality", "path").limit(2).collect()]
-    return selection.select(cand, POLICY, forced).select("path", "pick", "value")
+    return selection.select(cand, EIGHT, forced).select("path", "pick", "value")
 
 
 def _decided(spark, sf):
     from ..sources.store import Tables
 
     tables = Tables(spark, "decided")
-    gated = tables.save(gates.gated(matching.scored(_clustered(spark, sf), references(spark, sf)), POLICY), "gated")
-    picks = selection.select(gated.where("reason_code is null").withColumn("vec", F.col("visual_vec")), POLICY)
+    gated = tables.save(gates.gated(matching.scored(_clustered(spark, sf), references(spark, sf)), LIMITS), "gated")
+    picks = selection.select(gated.where("reason_code is null").withColumn("vec", F.col("visual_vec")), EIGHT)
     return tables.save(selection.decided(gated, picks).withColumn("forced", F.lit(False)), "decided")
 
 
@@ -417,7 +417,7 @@ def review_diff(spark, sf):
     rows = _decided(spark, sf)
     out = rows.where("pick = 1").first().path
     new = rows.where("reason_code = 'REDUNDANT'").orderBy(F.desc("quality"), "path").first().path
-    edited = review.edited(rows.withColumn("vec", F.col("visual_vec")), POLICY, include=new, exclude=out)
+    edited = review.edited(rows.withColumn("vec", F.col("visual_vec")), EIGHT, include=new, exclude=out)
     return review.difference(edited)
 
 

@@ -24,20 +24,23 @@ def curate(items: DataFrame, references: DataFrame, policy: Policy) -> DataFrame
     appearance_vec.  ``references``: vec.
     """
     tables = Tables(items.sparkSession, "curate")
-    gated = tables.save(gates.gated(matching.scored(items, references), policy), "gated")  # features are computed once
+    gated = tables.save(gates.gated(matching.scored(items, references), policy.limits), "gated")  # features are computed once
     passed = gated.where("reason_code is null")
-    groups = tables.save(duplicates.near(passed, policy.radius), "groups")
+    groups = tables.save(duplicates.near(passed, policy.near_bits), "groups")
     joined = gated.join(groups, "path", "left").withColumnRenamed("group_id", "duplicate_group")
     joined = joined.withColumn("reason_code", F.coalesce("reason_code", F.when(F.col("duplicate_of").isNotNull(), "DUPLICATE")))
     clustered = tables.save(clusters.clustered(joined), "clustered")
-    picks = tables.save(selection.select(candidates(clustered.where("reason_code is null")), policy), "picks")
+    picks = tables.save(selection.select(candidates(clustered.where("reason_code is null")), policy.choice), "picks")
     return selection.decided(clustered, picks)
 
 
 def reasons(items: DataFrame) -> DataFrame:
-    """``reasons``: an array of sentences for each decided item."""
+    """``reasons``: an array of sentences for each decided item; one whose decision an edit changed has its own."""
+    note = F.col("note") if "note" in items.columns else F.lit(None).cast("string")
     text = (
-        F.when(F.col("decision") == "selected", F.concat(F.lit("pick "), F.col("pick").cast("string"), F.lit(", value "), F.format_number("value", 3)))
+        F.when(note == "DISPLACED", "left the set when it was chosen anew after an edit by hand")
+        .when(note == "EXCLUDED", "taken out by hand")
+        .when(F.col("decision") == "selected", F.concat(F.lit("pick "), F.col("pick").cast("string"), F.lit(", value "), F.format_number("value", 3)))
         .when(F.col("reason_code") == "DUPLICATE", F.concat(F.lit("copy of "), F.col("duplicate_of")))
         .when(F.col("reason_code") == "LOW_MATCH", F.concat(F.lit("match "), F.format_number("match", 3)))
         .when(F.col("reason_code") == "LOW_QUALITY", F.concat(F.lit("quality "), F.format_number("quality", 3)))

@@ -11,18 +11,23 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import hashes, scalars, vectors
 from gleaner.operators import calibration, duplicates, gates, matching, progress, review, selection
-from gleaner.plans.policy import PROFILES, Policy
+from gleaner.plans import curation
+from gleaner.plans.policy import PROFILES, Choice, Limits, Policy, named
 from gleaner.sources import cache, files, journal, reports
 
 
 def test_policy_rules():
-    assert Policy().match_threshold == 0.72 and Policy(verification="normal").match_threshold == 0.65
-    assert Policy(match_threshold=0.5).match_threshold == 0.5
-    assert [Policy(duplicate_strength=s).radius for s in ("strong", "normal", "exact")] == [8, 4, None]
+    assert named().limits.match == 0.72 and named(mode="normal").limits.match == 0.65 and named() == Policy()
+    assert [named(strength=s).near_bits for s in ("strong", "normal", "exact")] == [8, 4, None]
+    assert [named(strength=s, bits=3).near_bits for s in ("strong", "normal", "exact")] == [3, 3, None]
     assert all(abs(sum(w) - 1) < 1e-9 for w in PROFILES.values())
-    for bad in ({"profile": "x"}, {"duplicate_strength": "x"}, {"verification": "x"}, {"verification": "custom"}, {"match_threshold": 1.5}, {"cpu_workers": -1}, {"queue_size": 0}):
+    assert Policy().text() == named().text() != named(count=3).text()
+    for bad in ({"profile": "x"}, {"strength": "x"}, {"mode": "x"}):
         with pytest.raises(ValueError):
-            Policy(**bad)
+            named(**bad)
+    for bad in (lambda: Limits(match=1.5), lambda: Limits(match=-0.1), lambda: Choice(weights=(1.0,))):
+        with pytest.raises(ValueError):
+            bad()
 
 
 def test_block_bounds():
@@ -109,23 +114,27 @@ def test_lazy_is_naive(seed):
 def test_scans_are_the_kernel(spark):
     pdf = _candidates(random.Random(5), 25, True)
     df = spark.createDataFrame(pdf, "collection string, path string, quality double, match double, pose string, expression string, appearance string, scene string, session string, vec array<double>").repartition(3)
-    policy = Policy(target_count=11)
-    one = {r.path: (r.pick, r.value) for r in selection.select(df, policy, ["p" + pdf["path"][3][1:]]).collect()}
-    two = {r.path: (r.pick, r.value) for r in selection.select(df, policy, ["p" + pdf["path"][3][1:]], kernel_rows=5).collect()}
+    choice = Choice(11)
+    one = {r.path: (r.pick, r.value) for r in selection.select(df, choice, ["p" + pdf["path"][3][1:]]).collect()}
+    two = {r.path: (r.pick, r.value) for r in selection.select(df, choice, ["p" + pdf["path"][3][1:]], kernel_rows=5).collect()}
     assert one == two and len(one) == 11
-    assert selection.select(df, Policy(target_count=0)).count() == 0
-    assert selection.select(df, Policy(target_count=99)).count() == 25
+    assert selection.select(df, Choice(0)).count() == 0
+    assert selection.select(df, Choice(99)).count() == 25
+    two = df.withColumn("collection", F.lit("y")).withColumn("path", F.concat(F.lit("y"), "path")).unionByName(df)
+    forced = ["y" + pdf["path"][1], pdf["path"][2], "y" + pdf["path"][4]]  # each collection takes its own
+    kernel, scans = ({(r.collection, r.path, r.pick) for r in selection.select(two, choice, forced, kernel_rows=k).collect()} for k in (99, 5))
+    assert kernel == scans and {("y", forced[0], 1), ("y", forced[2], 2), ("x", forced[1], 1)} <= kernel
     with pytest.raises(ValueError):
-        selection.select(df, policy, ["nowhere"])
+        selection.select(df, choice, ["nowhere"])
     with pytest.raises(ValueError):
-        selection.select(df, Policy(target_count=1), pdf["path"].tolist()[:2])
+        selection.select(df, Choice(1), pdf["path"].tolist()[:2])
 
 
 def test_a_hundred_picks(spark):
     pdf = _candidates(random.Random(6), 130, True)
     df = spark.createDataFrame(pdf, "collection string, path string, quality double, match double, " + ", ".join(f"{b} string" for b in selection.BUCKETS) + ", vec array<double>").repartition(3)
-    found = [r.path for r in selection.select(df, Policy()).orderBy("pick").collect()]
-    assert len(found) == 100 and found == [pdf["path"][i] if isinstance(i, int) else i for i in _naive(pdf, Policy().weights, 100)]
+    found = [r.path for r in selection.select(df, Choice()).orderBy("pick").collect()]
+    assert len(found) == 100 and found == [pdf["path"][i] if isinstance(i, int) else i for i in _naive(pdf, Choice().weights, 100)]
 
 
 @pytest.mark.parametrize("large", ["x", None])
@@ -134,18 +143,18 @@ def test_select_null_collection(spark, large):
     both = _candidates(rnd, 28, False)
     both["collection"] = ([large] * 20 + ["x" if large is None else None] * 8)
     df = spark.createDataFrame(both.astype(object).where(both.notna(), None), "collection string, path string, quality double, match double, " + ", ".join(f"{b} string" for b in selection.BUCKETS) + ", vec array<double>")
-    policy = Policy(target_count=5)
-    one = {(r.collection, r.path, r.pick) for r in selection.select(df, policy).collect()}
-    two = {(r.collection, r.path, r.pick) for r in selection.select(df, policy, kernel_rows=10).collect()}
+    choice = Choice(5)
+    one = {(r.collection, r.path, r.pick) for r in selection.select(df, choice).collect()}
+    two = {(r.collection, r.path, r.pick) for r in selection.select(df, choice, kernel_rows=10).collect()}
     assert one == two and len(one) == 10
 
 
 def test_gates_order_and_limits(spark):
     rows = [("a", True, 1, 0.9, 0.9), ("b", False, 0, 0.9, 0.9), ("c", False, 2, 0.1, 0.1), ("d", False, 1, 0.71, 0.1), ("e", False, 1, 0.72, 0.29), ("f", False, 1, 0.72, 0.30), ("g", None, None, None, None)]
     df = spark.createDataFrame(rows, "path string, invalid boolean, subjects int, match double, quality double")
-    found = {r.path: r.reason_code for r in gates.gated(df, Policy()).collect()}
+    found = {r.path: r.reason_code for r in gates.gated(df, Limits()).collect()}
     assert found == {"a": "INVALID", "b": "INVALID", "c": "MULTI_SUBJECT", "d": "LOW_MATCH", "e": "LOW_QUALITY", "f": None, "g": "INVALID"}
-    assert {r.path: r.reason_code for r in gates.gated(df, Policy(require_single=False)).collect()}["c"] == "LOW_MATCH"
+    assert {r.path: r.reason_code for r in gates.gated(df, Limits(alone=False)).collect()}["c"] == "LOW_MATCH"
 
 
 def test_vectors(spark):
@@ -263,12 +272,18 @@ def test_review_rules(spark):
     rows = [("a", "selected", None, 1, 0.9), ("b", "rejected", "REDUNDANT", None, 0.8), ("c", "rejected", "LOW_MATCH", None, 0.7), ("d", "rejected", "REDUNDANT", None, 0.1)]
     df = spark.createDataFrame(rows, "path string, decision string, reason_code string, pick int, quality double")
     df = df.withColumns({"collection": F.lit("x"), "match": F.lit(0.9), "value": F.lit(None).cast("double"), "forced": F.lit(False), "vec": F.array().cast("array<double>"), **{b: F.lit("u") for b in selection.BUCKETS}})
-    policy = Policy(target_count=1)
-    found = {r.path: (r.decision, r.reason_code) for r in review.edited(df, policy, include="d", exclude="a").collect()}
-    assert found == {"a": ("rejected", "MANUAL"), "b": ("rejected", "REDUNDANT"), "c": ("rejected", "LOW_MATCH"), "d": ("selected", None)}
+    choice = Choice(1)
+    found = {r.path: (r.decision, r.reason_code, r.note) for r in review.edited(df, choice, include="d", exclude="a").collect()}
+    assert found == {"a": ("rejected", "MANUAL", "EXCLUDED"), "b": ("rejected", "REDUNDANT", None), "c": ("rejected", "LOW_MATCH", None), "d": ("selected", None, "INCLUDED")}
+    moved = review.edited(df, choice, include="d").withColumn("duplicate_of", F.lit(None).cast("string"))
+    assert {r.path: r.note for r in moved.collect()} == {"a": "DISPLACED", "b": None, "c": None, "d": "INCLUDED"}
+    said = {r.path: r.reasons[0] for r in curation.reasons(moved.withColumn("pick", F.lit(1))).collect()}
+    assert "edit by hand" in said["a"] and said["b"] == "redundant"
+    unknown = df.withColumn("match", F.lit(None).cast("double"))
+    assert review.filtered(unknown).count() == 4 and review.filtered(unknown, minimum_match=0.1).count() == 0
     for bad in ({"include": "c"}, {"exclude": "b"}, {"include": "a", "exclude": "a"}, {"include": "nowhere"}):
         with pytest.raises(ValueError):
-            review.edited(df, policy, **bad)
+            review.edited(df, choice, **bad)
     assert review.filtered(df, "no such view").count() == 4 and [r.path for r in review.filtered(df, "REDUNDANT", 0, 0.5).collect()] == ["b"]
 
 
