@@ -165,15 +165,20 @@ def analyzer_key(model: Column, revision: Column, provider: Column, runtime: Col
     return F.concat_ws("-", model, revision, provider, runtime, F.substring(F.sha2(F.array_join(reference_digests, ""), 256), 1, 12))
 
 
+# Words of failure messages by what they are about; the first class that fits counts.
+FAILURE_WORDS = {
+    "download": ("download", "connectionreset", "connection reset"),
+    "accelerator": ("cuda", "cudnn", "executionprovider"),
+    "reference": ("reference",),
+    "space": ("free space", "not enough"),
+}
+
+
 def failure_class(message: Column) -> Column:
-    """What a failure message is about: the first class one of whose keywords it holds."""
+    """What a failure message is about: the first class one of whose words it holds."""
     text = F.lower(message)
-    classes = {
-        "download": ("download", "connectionreset", "connection reset"), "accelerator": ("cuda", "cudnn", "executionprovider"),
-        "reference": ("reference",), "space": ("free space", "not enough"),
-    }
     out = F.lit("other")
-    for name, words in reversed(classes.items()):
+    for name, words in reversed(FAILURE_WORDS.items()):
         test = F.lit(False)
         for w in words:
             test = test | text.contains(w)

@@ -37,9 +37,16 @@ def query(sql: str | None, name: str | None = None):
 # sources and sinks
 
 
-@query(r"SELECT page_id, url FROM pages WHERE lower(regexp_extract(url, '\.([^./?#]+)$', 1)) IN ('jpg', 'jpeg', 'png', 'webp', 'bmp', 'tif', 'tiff')")
+#: Endings of the documents' made-up file names.
+ENDINGS = (".JPG", ".txt", ".png", "", ".webp", ".gif", ".Tiff", ".bmp.part")
+
+
+@query(f"""SELECT path, doc_id FROM (SELECT doc_id, source || '/' || lpad(doc_id::VARCHAR, 8, '0') || ({list(ENDINGS)})[(doc_id % {len(ENDINGS)} + 1)::INT] AS path FROM documents)
+    WHERE regexp_matches(lower(path), '\\.(jpg|jpeg|png|webp|bmp|tif|tiff)$')""")
 def scan_supported(spark, sf):
-    return table(spark, sf, "pages").where(files.supported(F.col("url"))).select("page_id", "url")
+    """Documents under file names of all kinds: the supported ones."""
+    ending = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("doc_id") % len(ENDINGS) + 1).cast("int"))
+    return documents_bare(spark, sf).select(F.concat("path", ending).alias("path"), "doc_id").where(files.supported(F.col("path")))
 
 
 @query("SELECT doc_id, sha256(text) AS fingerprint, strlen(text)::BIGINT AS size_bytes FROM documents")
@@ -213,10 +220,10 @@ for _r in (8, 4):
     query(_pairs_sql(_r), f"hamming_pairs_r{_r}")(lambda spark, sf, r=_r: duplicates.hamming_pairs(documents(spark, sf), "doc_id", r))
 
 
-def _near_sql(radius: int | None, rounds: int = 10) -> str:
-    """Brute-force pairs, then as many rounds of the independent set as any chain here needs."""
+def _near_ctes(radius: int | None, rounds: int = 10, docs: str = "docs") -> list[str]:
+    """Tables up to ``owned`` (path, rep, head): brute-force pairs of ``docs``, then as many rounds of the independent set as any chain here needs."""
     close = "false" if radius is None else f"bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= {radius}"
-    ctes = [DOCS_SQL, f"edges AS MATERIALIZED (SELECT a.path AS u, b.path AS v FROM docs a JOIN docs b ON (a.quality > b.quality OR a.quality = b.quality AND a.path < b.path) AND (a.fingerprint = b.fingerprint OR {close}))",
+    ctes = [f"edges AS MATERIALIZED (SELECT a.path AS u, b.path AS v FROM {docs} a JOIN {docs} b ON (a.quality > b.quality OR a.quality = b.quality AND a.path < b.path) AND (a.fingerprint = b.fingerprint OR {close}))",
             "open0 AS (SELECT * FROM edges)"]
     for k in range(rounds):
         ctes.append(f"heads{k} AS MATERIALIZED (SELECT DISTINCT u FROM open{k} WHERE u NOT IN (SELECT v FROM open{k}))")
@@ -224,9 +231,14 @@ def _near_sql(radius: int | None, rounds: int = 10) -> str:
         ctes.append(f"open{k + 1} AS MATERIALIZED (SELECT * FROM open{k} WHERE u NOT IN (SELECT u FROM heads{k}) AND u NOT IN (SELECT v FROM gone{k}) AND v NOT IN (SELECT v FROM gone{k}))")
     gone = " UNION ALL ".join(f"SELECT v FROM gone{k}" for k in range(rounds))
     ctes.append(f"gone AS MATERIALIZED ({gone})")
-    ctes.append("""rep AS (SELECT e.v AS path, first(e.u ORDER BY d.quality DESC, d.path) AS rep FROM edges e JOIN docs d ON d.path = e.u WHERE e.v IN (SELECT v FROM gone) AND e.u NOT IN (SELECT v FROM gone) GROUP BY e.v)""")
-    return f"""WITH {', '.join(ctes)}, owned AS (SELECT docs.path, rep, coalesce(rep, docs.path) AS head FROM docs LEFT JOIN rep ON docs.path = rep.path)
-        SELECT o.path, o.rep AS duplicate_of, CASE WHEN count(*) OVER (PARTITION BY head) > 1 THEN h.fingerprint END AS group_id FROM owned o JOIN docs h ON h.path = o.head"""
+    ctes.append(f"rep AS (SELECT e.v AS path, first(e.u ORDER BY d.quality DESC, d.path) AS rep FROM edges e JOIN {docs} d ON d.path = e.u WHERE e.v IN (SELECT v FROM gone) AND e.u NOT IN (SELECT v FROM gone) GROUP BY e.v)")
+    ctes.append(f"owned AS (SELECT d.path, rep, coalesce(rep, d.path) AS head FROM {docs} d LEFT JOIN rep ON d.path = rep.path)")
+    ctes.append(f"near_groups AS MATERIALIZED (SELECT o.path, o.rep AS duplicate_of, CASE WHEN count(*) OVER (PARTITION BY head) > 1 THEN h.fingerprint END AS group_id FROM owned o JOIN {docs} h ON h.path = o.head)")
+    return ctes
+
+
+def _near_sql(radius: int | None, rounds: int = 10) -> str:
+    return f"WITH {', '.join([DOCS_SQL, *_near_ctes(radius, rounds)])} SELECT path, duplicate_of, group_id FROM near_groups"
 
 
 for _name, _radius in (("strong", 8), ("normal", 4), ("exact", None)):
@@ -350,11 +362,10 @@ def _candidates(spark, sf):
     return gated.where("reason_code is null").withColumn("vec", F.col("visual_vec"))
 
 
-def _select_sql(profile: str, picks: int, forced: tuple[str, ...] = (), where: str = "reason_code IS NULL") -> str:
-    """The greedy rule, each pick a query over all candidates and the picks before it; ``forced``: queries of paths."""
+def _pick_ctes(profile: str, picks: int, forced: tuple[str, ...] = ()) -> list[str]:
+    """The greedy rule over ``cand``, each pick a query over all candidates and the picks before it; ``forced``: queries of paths."""
     w = [f"{x}::DOUBLE" for x in PROFILES[profile]]
-    ctes = [CLUSTER_SQL, f"cand AS MATERIALIZED (SELECT * FROM clustered WHERE {where})",
-            "chosen0 AS (SELECT path, vec, pose, expression, appearance, scene, session, 0 AS pick, 0::DOUBLE AS value FROM cand WHERE false)"]
+    ctes = ["chosen0 AS (SELECT path, vec, pose, expression, appearance, scene, session, 0 AS pick, 0::DOUBLE AS value FROM cand WHERE false)"]
     for k in range(picks):
         nov = [f"1.0::DOUBLE / (1 + (SELECT count(*) FROM chosen{k} h WHERE h.{b} = c.{b}))" for b in ("pose", "expression", "appearance", "scene", "session")]
         near = f"coalesce((SELECT max(floor(list_cosine_similarity(h.vec, c.vec) * 1e6 + 0.5) / 1e6) FROM chosen{k} h), 0)"
@@ -363,6 +374,11 @@ def _select_sql(profile: str, picks: int, forced: tuple[str, ...] = (), where: s
         only = f"c.path = ({forced[k]})" if k < len(forced) else f"c.path NOT IN (SELECT path FROM chosen{k})"
         ctes.append(f"pick{k} AS MATERIALIZED (SELECT path, vec, pose, expression, appearance, scene, session, {k + 1} AS pick, ({value})::DOUBLE AS value FROM cand c WHERE {only} ORDER BY value DESC, path LIMIT 1)")
         ctes.append(f"chosen{k + 1} AS MATERIALIZED (SELECT * FROM chosen{k} UNION ALL SELECT * FROM pick{k})")
+    return ctes
+
+
+def _select_sql(profile: str, picks: int, forced: tuple[str, ...] = (), where: str = "reason_code IS NULL") -> str:
+    ctes = [CLUSTER_SQL, f"cand AS MATERIALIZED (SELECT * FROM clustered WHERE {where})", *_pick_ctes(profile, picks, forced)]
     return f"WITH {', '.join(ctes)} SELECT path, pick::INT AS pick, round(value * 100, 3) AS value FROM chosen{picks}"
 
 
@@ -389,7 +405,7 @@ def _decided(spark, sf):
 
 
 DECIDED_SQL = f"""picked AS ({_select_sql('balanced', 8)}), decided AS (
-    SELECT g.vec_id, g.path, g.match, g.quality, CASE WHEN p.pick IS NOT NULL THEN 'selected' ELSE 'rejected' END AS decision, CASE WHEN p.pick IS NOT NULL THEN NULL ELSE coalesce(g.reason_code, 'REDUNDANT') END AS reason_code
+    SELECT g.vec_id, g.path, g.match, g.quality, p.pick, p.value, CASE WHEN p.pick IS NOT NULL THEN 'selected' ELSE 'rejected' END AS decision, CASE WHEN p.pick IS NOT NULL THEN NULL ELSE coalesce(g.reason_code, 'REDUNDANT') END AS reason_code
     FROM (WITH {GATED_SQL} SELECT * FROM gated) g LEFT JOIN picked p USING (path))"""
 
 
@@ -403,9 +419,14 @@ def review_filter(spark, sf):
     return review.filtered(_decided(spark, sf), "rejected", 0.5, 0.4).select("path", "reason_code")
 
 
-@query(f"WITH {DECIDED_SQL} SELECT path, lower(replace(coalesce(reason_code, decision), '_', ' ')) AS why FROM decided")
+WHY_SQL = """CASE WHEN decision = 'selected' THEN printf('pick %d, value %.3f', pick, value) WHEN reason_code = 'DUPLICATE' THEN 'copy of ' || duplicate_of
+    WHEN reason_code = 'LOW_MATCH' THEN printf('match %.3f', match) WHEN reason_code = 'LOW_QUALITY' THEN printf('quality %.3f', quality) ELSE lower(replace(reason_code, '_', ' ')) END"""
+
+
+@query(f"WITH {DECIDED_SQL} SELECT path, {WHY_SQL} AS why FROM (SELECT *, NULL::VARCHAR AS duplicate_of FROM decided)")
 def why_rejected(spark, sf):
-    return review.explained(_decided(spark, sf).withColumn("reasons", F.array().cast("array<string>"))).select("path", "why")
+    said = curation.reasons(_decided(spark, sf).withColumn("duplicate_of", F.lit(None).cast("string")))
+    return review.explained(said).select("path", "why")
 
 
 @query(f"""WITH before_ AS MATERIALIZED ({_select_sql('balanced', 8)}), pool AS MATERIALIZED (WITH {CLUSTER_SQL} SELECT path, quality FROM clustered WHERE reason_code IS NULL),
@@ -421,11 +442,41 @@ def review_diff(spark, sf):
     return review.difference(edited)
 
 
-@query(None)
+def _greedy_sql(profile: str, picks: int) -> str:
+    """chosen (path, pick, value): the greedy rule over ``cand`` by recursion, each step one pick and every candidate's state after it."""
+    w = [f"{x}::DOUBLE" for x in PROFILES[profile]]
+    buckets = ("pose", "expression", "appearance", "scene", "session")
+    value = " + ".join(f"{a} * {t}" for a, t in zip(w, ("quality", "match", "(1 - near)", *[f"1.0::DOUBLE / (1 + n_{b})" for b in buckets])))
+    names = ", ".join(buckets)
+    return f"""greedy AS (
+        SELECT path, vec, quality, match, {names}, 0 AS step, 0::DOUBLE AS near, {', '.join(f'0 AS n_{b}' for b in buckets)}, NULL::INT AS pick, NULL::DOUBLE AS value FROM cand
+        UNION ALL
+        SELECT path, vec, quality, match, {names}, step + 1, greatest(near, floor(list_cosine_similarity(best.vec, vec) * 1e6 + 0.5) / 1e6), {', '.join(f'n_{b} + (best.{b} = {b})::INT' for b in buckets)},
+               CASE WHEN path = best.path THEN step + 1 ELSE pick END, CASE WHEN path = best.path THEN now ELSE value END
+        FROM (SELECT *, first_value({{'path': path, 'vec': vec, 'pick': pick, {', '.join(f"'{b}': {b}" for b in buckets)}}}) OVER (ORDER BY pick IS NOT NULL, now DESC, path) AS best FROM (SELECT *, ({value})::DOUBLE AS now FROM greedy))
+        WHERE step < {picks} AND best.pick IS NULL),
+    chosen AS (SELECT path, pick, value FROM greedy WHERE step = (SELECT max(step) FROM greedy) AND pick IS NOT NULL)"""
+
+
+CURATED_SQL = f"""WITH RECURSIVE {CLUSTER_SQL},
+    hashed AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_reduce(embedding::DOUBLE[], lambda a, b: a + b) / 64 AS mean FROM embeddings),
+    bits AS (SELECT vec_id, i, CASE WHEN x >= mean THEN 1 ELSE 0 END AS bit FROM (SELECT vec_id, mean, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM hashed)),
+    tile AS (SELECT vec_id, sum(CASE WHEN i <= 32 THEN bit::BIGINT << (32 - i) ELSE 0 END)::BIGINT AS hi, sum(CASE WHEN i > 32 THEN bit::BIGINT << (64 - i) ELSE 0 END)::BIGINT AS lo FROM bits GROUP BY vec_id),
+    passed AS MATERIALIZED (SELECT c.path, c.fingerprint, c.quality, hi, lo FROM clustered c JOIN tile USING (vec_id) WHERE reason_code IS NULL),
+    {', '.join(_near_ctes(8, docs='passed'))},
+    flagged AS MATERIALIZED (SELECT c.* EXCLUDE (reason_code), coalesce(c.reason_code, CASE WHEN duplicate_of IS NOT NULL THEN 'DUPLICATE' END) AS reason_code, duplicate_of, group_id FROM clustered c LEFT JOIN near_groups n ON n.path = c.path),
+    cand AS MATERIALIZED (SELECT * FROM flagged WHERE reason_code IS NULL), {_greedy_sql('balanced', 100)},
+    final AS (SELECT f.path, f.match, f.quality, p.pick, round(p.value * 100, 3) AS value, duplicate_of, group_id, CASE WHEN p.pick IS NULL THEN 'rejected' ELSE 'selected' END AS decision,
+                     CASE WHEN p.pick IS NULL THEN coalesce(f.reason_code, 'REDUNDANT') END AS reason_code FROM flagged f LEFT JOIN chosen p ON p.path = f.path)
+    SELECT path, decision, reason_code, pick::INT AS pick, value, group_id AS duplicate_group, {WHY_SQL} AS reasons FROM final"""
+
+
+@query(CURATED_SQL)
 def curated(spark, sf):
-    """The whole flow over the embeddings."""
+    """The whole flow over the embeddings, with the default hundred picks."""
     i = items(spark, sf).join(tiles(spark, sf), "vec_id").withColumns({"scene_vec": F.slice("vec", 1, 32), "appearance_vec": F.slice("vec", 33, 32)})
-    return curation.reasons(curation.curate(i, references(spark, sf), FULL_POLICY)).select("path", "decision", "reason_code", "pick", "value", "duplicate_group", "reasons")
+    said = curation.reasons(curation.curate(i, references(spark, sf), FULL_POLICY))
+    return said.select("path", "decision", "reason_code", "pick", "value", "duplicate_group", F.array_join("reasons", "; ").alias("reasons"))
 
 
 # calibration and scalar rules

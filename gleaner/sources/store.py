@@ -10,9 +10,12 @@ from pyspark.sql import types as T
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of this session where that is unset."""
+    """spark.checkpoint.dir.  Where that is unset, a temporary folder of a session on one machine, and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("gleaner.scratch", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="gleaner-")
         spark.conf.set("gleaner.scratch", root)
     return root.rstrip("/")
