@@ -607,5 +607,5 @@ def stream_window_counts(spark, sf):
 
     stream = ingest.arriving(spark, f"{sf}/events.parquet*", table(spark, sf, "events").schema)
     name = f"windows_{uuid.uuid4().hex}"
-    done = ingest.completed(ingest.windowed_counts(stream), name, f"{shared_root(spark)}/{name}")
+    done = ingest.completed(ingest.windowed_counts(stream), f"{shared_root(spark)}/{name}")
     return done.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "events", F.round("value", 4).alias("value"))

@@ -34,24 +34,44 @@ def fingerprint(files: DataFrame) -> DataFrame:
 
 
 def indexed(df: DataFrame, order: str = "path") -> DataFrame:
-    """``item_index`` from 1 in the order of a column: sorted partitions are counted, then numbered on."""
+    """``item_index`` from 1 in the order of a column."""
+    return numbered(df, [], order, "item_index")
+
+
+def numbered(df: DataFrame, groups: list[str], order: str, name: str) -> DataFrame:
+    """``name``: each row's number from 1 in its group (of columns without nulls), in the order of a column.
+
+    Ranges of groups and order are counted, then numbered on, so that a group of any size is dealt to many tasks; there are
+    as many counts as ranges and groups.
+    """
     from .store import Tables
 
-    tables = Tables(df.sparkSession, "indexed")
-    parts = tables.save(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()), "parts")
-    counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = F.row_number().over(W.partitionBy("_part").orderBy(order))
-    return parts.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn("item_index", F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
+    keys = [*groups, order]
+    parts = Tables(df.sparkSession, "numbered").save(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()), "parts")
+    counts = parts.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = W.partitionBy(*groups).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
+    own = F.row_number().over(W.partitionBy(*groups, "_part").orderBy(order))
+    joined = parts.withColumn("_own", own).join(F.broadcast(before) if not groups else before, [*groups, "_part"])
+    return joined.withColumn(name, F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
+
 
+def labelled_samples(spark: SparkSession, path: str, score: str, label: str, required: bool = False) -> DataFrame:
+    """(score, label) of a CSV with a header; a byte-order mark is passed over.
 
-def labelled_samples(spark: SparkSession, path: str, score: str, label: str) -> DataFrame:
-    """(score, label) of rows of a CSV with a header that have both; a byte-order mark is passed over."""
+    Without ``required`` a missing column gives no samples and rows that lack a value are passed over; with it either
+    is an error, a missing column at once and a missing value when the rows are read.
+    """
     raw = spark.read.option("header", "true").csv(path)
     rows = raw.toDF(*[c.lstrip("﻿") for c in raw.columns])
-    if score not in rows.columns or label not in rows.columns:
+    lacking = [c for c in (score, label) if c not in rows.columns]
+    if lacking and required:
+        raise ValueError(f"{path} has no column {' and no column '.join(lacking)}")
+    if lacking:
         return spark.createDataFrame([], "score double, label boolean")
     filled = (F.trim(F.coalesce(score, F.lit(""))) != "") & (F.trim(F.coalesce(label, F.lit(""))) != "")
+    if required:
+        return rows.select(F.when(filled, F.trim(score).cast("double")).otherwise(F.raise_error(F.lit("a sample lacks its score or label")).cast("double")).alias("score"), parse_label(F.col(label)).alias("label"))
     return rows.where(filled).select(F.trim(score).cast("double").alias("score"), parse_label(F.col(label)).alias("label"))
 
 

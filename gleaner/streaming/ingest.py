@@ -53,8 +53,14 @@ def sessions(events: DataFrame, user: str, gap: str = "30 minutes", late: str =
     return timed.groupBy(F.session_window("ts", gap).alias("s"), user).agg(F.count(F.lit(1)).alias("events")).select(user, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "events")
 
 
-def completed(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """The stream's result after all that has arrived, from an in-memory table; for small aggregates and tests."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def completed(stream: DataFrame, path: str, mode: str = "complete") -> DataFrame:
+    """The stream's result after all that has arrived, as a table under ``path``; nothing is gathered on the driver.
+
+    In complete mode each batch holds the whole result, so the last one counts; in append mode all do.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={0 if mode == 'complete' else number}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import numpy as np
@@ -190,6 +191,8 @@ def test_calibration_brute_force(spark):
                 best = (key, t, tp, fp)
         got = calibration.best_threshold(spark.createDataFrame(samples, "score double, label boolean")).first()
         assert (got.threshold, got.true_positive, got.false_positive) == (round(best[1], 6), best[2], best[3])
+    nulls = spark.createDataFrame([(0.9, True), (0.1, False), (None, True), (0.5, None)], "score double, label boolean")
+    assert calibration.best_threshold(nulls).first().samples == 2
     with pytest.raises(Exception):  # noqa: B017
         calibration.best_threshold(spark.createDataFrame([(0.5, True)], "score double, label boolean")).collect()
 
@@ -230,6 +233,10 @@ def test_files_and_journal(spark, tmp_path):
     (tmp_path / "l.csv").write_text("﻿score,same\n0.9, Yes\n0.1,no\n,yes\n", encoding="utf-8")
     assert [tuple(r) for r in files.labelled_samples(spark, f"file://{tmp_path}/l.csv", "score", "same").collect()] == [(0.9, True), (0.1, False)]
     assert files.labelled_samples(spark, f"file://{tmp_path}/l.csv", "quality", "same").count() == 0
+    with pytest.raises(ValueError):
+        files.labelled_samples(spark, f"file://{tmp_path}/l.csv", "quality", "same", required=True)
+    with pytest.raises(Exception):  # noqa: B017  one row has no score
+        files.labelled_samples(spark, f"file://{tmp_path}/l.csv", "score", "same", required=True).collect()
     (tmp_path / "j.json").write_text('{"run_id":"a","written":"2024-01-01T00:00:00","status":"failed","source":"s","config":"c","analyzer":"v"}\nbroken\n{"run_id":"a","written":"2024-01-02T00:00:00","status":"cancelled","source":"s","config":"c","analyzer":"v"}\n')
     states = journal.read(spark, f"file://{tmp_path}/j.json")
     assert [r.status for r in journal.resumable(states, "s", "c", "v").collect()] == ["cancelled"] and journal.resumable(states, "s", "c", "w").count() == 0
@@ -262,10 +269,88 @@ def test_reports(spark, tmp_path):
     back = spark.read.option("header", "true").csv(f"file://{tmp_path}/csv")
     assert back.columns == list(reports.CSV_COLUMNS) and {r.reasons for r in back.collect()} == {"a; b"}
     assert {tuple(r) for r in reports.changed(items, items.withColumn("category", F.lit("rejected"))).collect()} == {("in/a/x.png", "selected", "rejected")}
-    (tmp_path / "src").mkdir()
-    (tmp_path / "src/x.png").write_bytes(b"1")
-    reports.copy_files(spark.createDataFrame([(f"file://{tmp_path}/src/x.png", "selected/0001_x.png")], "path string, destination string"), f"file://{tmp_path}/out")
-    assert (tmp_path / "out/selected/0001_x.png").read_bytes() == b"1"
+    assert {f.read_bytes()[:7] for f in (tmp_path / "csv").glob("*.csv")} == {b"\xef\xbb\xbfpath"}
+
+
+def test_report(spark, tmp_path):
+    items = spark.createDataFrame([("a", "selected", 0.9), ("b", "rejected", 0.1), ("c", "rejected", None)], "path string, category string, match double")
+    stats = matching.statistics(items.withColumn("subjects", F.lit(1)), 0.5)
+    reports.write_report(items, f"file://{tmp_path}/report", Policy().text(), stats, performance={"seconds": 2}, review={"added": ["x"]})
+    head = json.loads("".join(r.value for r in spark.read.text(f"file://{tmp_path}/report/head").collect()))
+    assert head["summary"] == {"selected": 1, "rejected": 2} and head["match_statistics"]["passed"] == 1 and head["policy"]["choice"]["count"] == 100
+    assert head["performance"] == {"seconds": 2} and head["review"] == {"added": ["x"]} and head["references"] == {}
+    assert spark.read.json(f"file://{tmp_path}/report/items").count() == 3
+
+
+def test_manifest_and_review(spark, tmp_path):
+    (tmp_path / "src/sub").mkdir(parents=True)
+    root, n = f"file://{tmp_path}/out", 60
+    for i in range(n):
+        (tmp_path / f"src/{i:02d}.png").write_bytes(b"x" * (i + 1))
+    (tmp_path / "src/sub/05.png").write_bytes(b"another")
+    paths = [f"file://{tmp_path}/src/{i:02d}.png" for i in range(n)] + [f"file://{tmp_path}/src/sub/05.png"]
+    make = lambda chosen: spark.createDataFrame([(p, f"{i:08x}f", "selected" if i in chosen else "rejected", i + 1) for i, p in enumerate(paths)], "path string, fingerprint string, category string, item_index long").repartition(2)
+    before = make({0, 1})
+    broken = before.where("item_index <= 45").unionByName(spark.createDataFrame([(f"file://{tmp_path}/src/none.png", "f", "selected", 99)], before.schema)).repartition(1).sortWithinPartitions("item_index")
+    with pytest.raises(Exception):  # noqa: B017  a file is missing
+        reports.materialize(reports.destinations(broken).coalesce(1), root)
+    known = reports.read_manifest(spark, root).count()
+    assert known > 0  # what was copied before the failure is written down
+    assert reports.materialize(reports.destinations(before), root) == n + 1 - known and reports.materialize(reports.destinations(before), root) == 0
+    held = {r.path: r.destination for r in reports.read_manifest(spark, root).collect()}
+    assert held[paths[0]] == "selected/0001_00.png" and len(set(held.values())) == n + 1
+    assert all((tmp_path / "out" / held[p]).stat().st_size == len((tmp_path / p.split(str(tmp_path) + "/")[1]).read_bytes()) for p in paths)
+    reports.write_report(before, f"{root}/report", Policy().text())
+    assert reports.sync_review(before, make({0, 2}), root, 1) == 2
+    held = {r.path: r.destination for r in reports.read_manifest(spark, root).collect()}
+    assert held[paths[1]] == "rejected/01.png" and held[paths[2]] == "selected/0003_02.png"
+    assert not (tmp_path / "out/selected/0002_01.png").exists() and (tmp_path / "out/rejected/01.png").read_bytes() == b"xx" and (tmp_path / "out/history/1/report/head").is_dir()
+    assert reports.sync_review(make({0, 2}), make({0}), root, 2, copy_rejected=False) == 1
+    assert (tmp_path / "out/history/2/removed/selected/0003_02.png").read_bytes() == b"xxx" and paths[2] not in {r.path for r in reports.read_manifest(spark, root).collect()}
+
+
+def test_review_leaves_other_copies(spark, tmp_path):
+    """An item takes the name of one that moves away in the same revision."""
+    root = f"file://{tmp_path}/out"
+    for folder in "ab":
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.png").write_bytes(folder.encode())
+    make = lambda a, b: spark.createDataFrame([(f"file://{tmp_path}/a/x.png", "aaaaaaaa1", a, 1), (f"file://{tmp_path}/b/x.png", "bbbbbbbb1", b, 2)], "path string, fingerprint string, category string, item_index long")
+    one, two = make("rejected", "other"), make("other", "rejected")
+    assert reports.materialize(reports.destinations(one), root) == 2 and reports.sync_review(one, two, root, 1) == 2
+    held = {r.path[-7]: (tmp_path / "out" / r.destination).read_bytes() for r in reports.read_manifest(spark, root).collect()}
+    assert held == {"a": b"a", "b": b"b"}
+
+
+def test_numbered_with_a_hot_group(spark):
+    rows = [("hot" if i % 3 else f"g{i % 5}", i) for i in range(300)]
+    found = files.numbered(spark.createDataFrame(rows, "g string, i long").repartition(5), ["g"], "i", "nth").collect()
+    order = {}
+    for g, i in sorted(rows, key=lambda r: r[1]):
+        order[g, i] = sum(1 for a, b in rows if a == g and b <= i)
+    assert {(r.g, r.i): r.nth for r in found} == order
+
+
+def test_smoothed_rates(spark):
+    rnd = random.Random(4)
+    rows = [(u, i, rnd.random() * 9) for u, n in (("a", 1), ("b", 700), (None, 5)) for i in range(n)]
+    found = {r.u: r.smoothed for r in progress.smoothed_rates(spark.createDataFrame(rows, "u string, i int, x double").repartition(3), "u", "i", "x").collect()}
+    for u in ("a", "b", None):
+        s = None
+        for _, _, x in [r for r in rows if r[0] == u]:
+            s = x if s is None else 0.25 * x + 0.75 * s
+        assert found[u] == pytest.approx(s, rel=1e-12)
+
+
+def test_shared_folder_is_asked_for(spark):
+    from types import SimpleNamespace
+
+    from gleaner.sources.store import shared_root
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: {"spark.master": "yarn"}.get(k, d)))
+    with pytest.raises(ValueError):
+        shared_root(cluster)
+    assert shared_root(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
 def test_review_rules(spark):
