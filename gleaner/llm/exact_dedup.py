@@ -6,7 +6,9 @@ Texts are equal when they are identical after each run of ASCII white space is m
   sorted run: one entry for each distinct digest with its smallest id and its count, and a Bloom filter for
   each shard of digests.  Copies within a memtable are merged here, before anything is shuffled.
 * *Compaction.*  Runs meet by digest shard and are merged, FAN_IN at a time and level by level.  An entry
-  that no other run's filter claims passes through; claimed ones are merged, smallest id and summed count.
+  that no other run's filter claims passes through; claimed ones are merged, smallest id and summed count.  More than REGIONS
+  shards are reached in steps: runs meet by region first, some REGIONS of them become one run that is cut REGIONS times
+  finer, and so on, so that segments of runs stay as long and their number grows with the rows, not with their square.
 * *Lookup and verification.*  Every document finds its entry; a hit (an entry whose id is another
   document's) is compared byte by byte with the text of the row that stays.  Hits that differ (two texts,
   one digest) are grouped anew by their whole text, so the result is right for any digest.
@@ -29,8 +31,8 @@ from .common import Workspace, dealt, gathered, parallelism, skew_safe_lookup, s
 
 #: Entries a memtable holds before it is flushed; runs merged at a time; filter bits and hashes for each entry.
 MEMTABLE_ROWS, FAN_IN, FILTER_BITS, FILTER_HASHES = 1 << 18, 8, 10, 7
-#: Most rows expected in a shard of digests.
-SHARD_ROWS = 1 << 20
+#: Most rows expected in a shard of digests; parts into which a run is cut, and runs that become one, at a step.
+SHARD_ROWS, REGIONS = 1 << 20, 256
 #: Hits compared with one copy of the kept text.
 VERIFY_CHUNK = 256
 _LAST = (1 << 63) - 1
@@ -152,11 +154,14 @@ def _table(held: list[tuple[np.ndarray, np.ndarray]]) -> Run:
     return Run(digest, ids, np.ones(len(ids), np.int64), bits=np.zeros(8, np.uint8))
 
 
-def _compact(width: int):
-    """Rows come sorted by shard and run; each shard's runs are merged level by level."""
+def _compact(width: int, finer: int | None = None):
+    """Rows come sorted by shard, pack and run; each pack's runs are merged level by level, to a run in ``finer`` shards or to the index."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, run, levels, held = None, None, [], None
+        from pyspark import TaskContext
+
+        place, run, levels, held, made = None, None, [], None, 0
+        part = TaskContext.get().partitionId()
 
         def close_run():
             if held and held["digest"]:
@@ -170,35 +175,40 @@ def _compact(width: int):
                 full, levels[level] = levels[level], []
                 put(merge(full), level + 1)
 
-        def close_shard():
+        def close_pack():
+            nonlocal made
             rest = [r for level in levels for r in level]
             levels.clear()
             while len(rest) > 1:
                 rest = [merge(rest[i : i + FAN_IN]) for i in range(0, len(rest), FAN_IN)]
-            return _emit_index(rest[0], shard, width) if rest else iter(())
+            if not rest:
+                return iter(())
+            made += 1
+            return _emit(rest[0], f"{part}-{made}", finer, width) if finer else _emit_index(rest[0], place[0], width)
 
         for batch in batches:
-            shards, runs = batch.column("shard").to_numpy(), batch.column("run").to_pylist()
-            new = np.flatnonzero(np.r_[True, (shards[1:] != shards[:-1]) | np.array([a != b for a, b in zip(runs[1:], runs[:-1])], bool)]).tolist()
+            shards, packs, runs = batch.column("shard").to_numpy(), batch.column("pack").to_numpy(), batch.column("run").to_pylist()
+            new = np.flatnonzero(np.r_[True, (shards[1:] != shards[:-1]) | (packs[1:] != packs[:-1]) | np.array([a != b for a, b in zip(runs[1:], runs[:-1])], bool)]).tolist()
             for a, b in zip(new, [*new[1:], len(runs)]):
-                if (int(shards[a]), runs[a]) != (shard, run):
+                at = int(shards[a]), int(packs[a])
+                if (at, runs[a]) != (place, run):
                     close_run()
                     held = None
-                    if shard is not None and int(shards[a]) != shard:
-                        yield from close_shard()
-                    shard, run = int(shards[a]), runs[a]
+                    if place is not None and at != place:
+                        yield from close_pack()
+                    place, run = at, runs[a]
                     held = {"digest": [], "ids": [], "n": [], "bits": None}
-                part = batch.slice(a, b - a)
-                if part.column("filter")[0].is_valid:
-                    held["bits"] = np.frombuffer(part.column("filter")[0].as_py(), np.uint8)
-                    part = part.slice(1)
-                if part.num_rows:
-                    held["digest"].append(_keys(part.column("digest"), width))
-                    held["ids"].append(part.column("doc_id").to_numpy())
-                    held["n"].append(part.column("n").to_numpy())
+                piece = batch.slice(a, b - a)
+                if piece.column("filter")[0].is_valid:
+                    held["bits"] = np.frombuffer(piece.column("filter")[0].as_py(), np.uint8)
+                    piece = piece.slice(1)
+                if piece.num_rows:
+                    held["digest"].append(_keys(piece.column("digest"), width))
+                    held["ids"].append(piece.column("doc_id").to_numpy())
+                    held["n"].append(piece.column("n").to_numpy())
         close_run()
-        if shard is not None:
-            yield from close_shard()
+        if place is not None:
+            yield from close_pack()
 
     return scan
 
@@ -212,59 +222,75 @@ def _emit_index(run: Run, shard: int, width: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.full(m, shard, np.int32)), digests, pa.array(run.ids[a : a + m]), pa.array(run.n[a : a + m])], ["shard", "digest", "keep_id", "group_size"])
 
 
-def build_index(ws: Workspace, digests: DataFrame, width: int = 32, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
+def build_index(ws: Workspace, digests: DataFrame, width: int = 32, memtable_rows: int = MEMTABLE_ROWS, regions: int = REGIONS, shards: int | None = None) -> DataFrame:
     """The compacted index (shard, digest, keep_id, group_size) of (doc_id, digest) rows, one row a digest."""
-    shards = max(parallelism(ws.spark), digests.count() // SHARD_ROWS)
-    runs = ws.save(digests.select("doc_id", "digest").mapInArrow(_flush(memtable_rows, shards, width), RUNS), "runs", by_partition=True)
-    merged = (
-        dealt(runs, shards, ["shard"], ["shard", "run", F.col("filter").isNull(), "digest"])
-        .mapInArrow(_compact(width), "shard int, digest binary, keep_id long, group_size long")
-    )
+    shards = shards or max(parallelism(ws.spark), digests.count() // SHARD_ROWS)
+    cuts = [min(shards, regions)]
+    while cuts[-1] < shards:
+        cuts.append(min(shards, cuts[-1] * regions))
+    runs = ws.save(digests.select("doc_id", "digest").mapInArrow(_flush(memtable_rows, cuts[0], width), RUNS), "runs-0", by_partition=True)
+    for step, finer in enumerate(cuts[1:], 1):
+        packs = max(1, runs.select("run").distinct().count() // regions)
+        runs = ws.save(_packed(runs, parallelism(ws.spark), packs).mapInArrow(_compact(width, finer), RUNS), f"runs-{step}", by_partition=True)
+        ws.drop(f"runs-{step - 1}")
+    merged = _packed(runs, min(shards, max(parallelism(ws.spark), shards // 16)), 1).mapInArrow(_compact(width), "shard int, digest binary, keep_id long, group_size long")
     index = ws.save(merged, "index", **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"})
-    ws.drop("runs")
+    ws.drop(f"runs-{len(cuts) - 1}")
     return index
 
 
+def _packed(runs: DataFrame, n: int, packs: int) -> DataFrame:
+    """Each shard's segments of runs in ``packs`` packs, each in one task, a run's filter before its entries."""
+    packed = runs.withColumn("pack", F.pmod(F.xxhash64("run"), F.lit(packs)).cast("int"))
+    return dealt(packed, n, ["shard", "pack"], ["shard", "pack", "run", F.col("filter").isNull(), "digest"])
+
+
 def find_copies(docs: DataFrame, digest: Callable[[Column], Column] = sha256_digest, width: int = 32, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
     """(doc_id, digest, keep_id, group_size, kept) for every row of ``docs`` (doc_id, text).
 
-    ``digest`` makes ``width`` bytes of the squeezed text; verification makes the result right for any.
+    ``digest`` makes ``width`` bytes of the squeezed text; verification makes the result right for any.  Whole texts are
+    squeezed and digested once; the ``tie``, a fast hash of the text as it is, finds those that verification reads.
     """
     ws = Workspace(docs.sparkSession, "exact")
-    texts = docs.select("doc_id", squeezed(F.col("text")).alias("_text"))
-    digests = ws.save(texts.select("doc_id", digest(F.col("_text")).alias("digest")), "digests")
+    tie = F.xxhash64("text")
+    digests = ws.save(docs.select("doc_id", tie.alias("tie"), digest(squeezed(F.col("text"))).alias("digest")), "digests")
     index = build_index(ws, digests, width, memtable_rows)
     found = ws.save(skew_safe_lookup(digests, index.drop("shard"), ["digest"], "group_size"), "found")
 
-    chunks = F.ceil(F.col("group_size") / VERIFY_CHUNK)
-    groups = index.where("group_size > 1").select("digest", F.col("keep_id"), chunks.cast("int").alias("_chunks"))
-    hits = found.where("group_size > 1 and not (coalesce(doc_id, 9223372036854775807) <=> keep_id)").select("doc_id", "digest", "keep_id", F.pmod(F.xxhash64("doc_id"), chunks).cast("int").alias("_at"), F.lit(False).alias("_stays"))
-    stays = groups.select(F.when(F.col("keep_id") != _LAST, F.col("keep_id")).alias("doc_id"), "digest", "keep_id", F.col("_chunks").alias("_at"), F.lit(True).alias("_stays"))
-    wanted = hits.unionByName(stays).withColumnsRenamed({"doc_id": "_id", "digest": "_digest"})
+    chunks = F.ceil(F.col("group_size") / VERIFY_CHUNK).cast("int")
+    several = found.where("group_size > 1").withColumn("_own", F.coalesce("doc_id", F.lit(_LAST)) == F.col("keep_id"))
+    hits = several.where("not _own").select("doc_id", "tie", "digest", F.pmod(F.xxhash64("doc_id"), chunks).cast("int").alias("_at"), F.lit(False).alias("_stays")).distinct()
+    # of equal rows one is enough; of unlike texts under the smallest id any, as verification parts the others from it
+    stays = several.where("_own").groupBy("digest").agg(F.min(F.struct("tie", "doc_id")).alias("_one"), F.max(chunks).alias("_at"))
+    stays = stays.select("_one.doc_id", "_one.tie", "digest", "_at", F.lit(True).alias("_stays"))
+    same_id = several.where("_own").join(stays.select(F.col("digest").alias("_of"), F.col("tie").alias("_first")), (F.col("digest") == F.col("_of")) & (F.col("tie") != F.col("_first")))
+    unlike = same_id.select("doc_id", "tie", "digest", F.lit(0).alias("_at"), F.lit(False).alias("_stays")).distinct()
+    wanted = hits.unionByName(unlike).unionByName(stays).withColumnsRenamed({"doc_id": "_id", "digest": "_digest", "tie": "_tie"})
     sides = ws.save(
-        texts.withColumn("digest", digest(F.col("_text")))
-        .join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
-        .select("_id", "_digest", "_at", "_stays", "_text"), "sides")
-    kept_text = sides.where("_stays").select("_digest", F.explode(F.sequence(F.lit(0), F.col("_at") - 1)).alias("_at"), F.col("_text").alias("_kept_text"))
+        docs.select("doc_id", "text", tie.alias("tie"))
+        .join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
+        .withColumn("_text", squeezed(F.col("text"))).where(digest(F.col("_text")) == F.col("_digest"))
+        .select("_id", "_digest", "_tie", "_at", "_stays", "_text"), "sides")
+    kept_text = sides.where("_stays").groupBy("_digest").agg(F.min("_text").alias("_kept_text"), F.max("_at").alias("_many")).select("_digest", "_kept_text", F.explode(F.sequence(F.lit(0), F.col("_many") - 1)).alias("_at"))
     differs = ws.save(
         sides.where("not _stays").join(kept_text, ["_digest", "_at"]).where(F.col("_text") != F.col("_kept_text"))
-        .select("_id", "_digest", "_text"), "differs", small=True)
+        .select("_id", "_digest", "_tie", "_text"), "differs", small=True)
     ws.drop("sides")
     result = found.withColumn("keep_id", F.when(F.col("keep_id") != _LAST, F.col("keep_id")))
     if not differs.isEmpty():
         result = _regroup(ws, result, differs)
-    return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    return result.drop("tie").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 
 def _regroup(ws: Workspace, result: DataFrame, differs: DataFrame) -> DataFrame:
     """Groups by whole text for hits whose digest is another text's; their old groups shrink by as many."""
     again = differs.groupBy("_digest", "_text").agg(F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
-    moved = differs.join(again, ["_digest", "_text"]).select("_id", "_digest", "_keep", "_size").distinct()
+    moved = differs.join(again, ["_digest", "_text"]).select("_id", "_digest", "_tie", "_keep", "_size").distinct()
     lost = differs.groupBy(F.col("_digest").alias("_from")).agg(F.count(F.lit(1)).alias("_lost"))
     return (
-        result.join(moved, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+        result.join(moved, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")) & (F.col("tie") == F.col("_tie")), "left")
         .join(lost, F.col("digest") == F.col("_from"), "left")
-        .select("doc_id", "digest", F.when(F.col("_size").isNotNull(), F.col("_keep")).otherwise(F.col("keep_id")).alias("keep_id"),
+        .select("doc_id", "digest", "tie", F.when(F.col("_size").isNotNull(), F.col("_keep")).otherwise(F.col("keep_id")).alias("keep_id"),
                 F.coalesce(F.col("_size"), F.col("group_size") - F.coalesce("_lost", F.lit(0))).alias("group_size"))
     )
 

@@ -76,6 +76,27 @@ def test_exact(spark, docs, width, digest):
     assert found == exact_wanted(texts())
 
 
+def test_exact_unlike_texts_of_one_id(spark):
+    """One id, several texts, one digest: each text is a group of its own."""
+    rows = [(1, "a"), (1, "b"), (1, "b  "), (2, "b "), (1, "a"), (None, "b"), (None, "c"), (3, "c")]
+    digest = lambda t: F.unhex(F.lpad(F.hex(F.length(t) * 0), 4, "0"))
+    found = Counter((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.find_copies(frame(spark, rows), lambda t: digest(F.trim(t)), 2, 2).collect())
+    assert found == Counter([(1, 1, 2), (1, 1, 2), (1, 1, 2), (1, 1, 2), (2, 1, 2), (None, 1, 2), (None, 3, 2), (3, 3, 2)])
+
+
+@pytest.mark.parametrize("regions,shards", [(2, 13), (4, 16), (256, 5)])
+def test_exact_compaction_in_steps(spark, regions, shards):
+    rnd = random.Random(3)
+    rows = [(i, bytes(rnd.choice(b"abcd") for _ in range(4))) for i in range(500)]
+    digests = spark.createDataFrame(rows, "doc_id long, digest binary").repartition(6)
+    index = exact_dedup.build_index(common.Workspace(spark, "t"), digests, 4, 16, regions, shards).collect()
+    wanted = defaultdict(list)
+    for i, d in rows:
+        wanted[d].append(i)
+    assert {bytes(r.digest): (r.keep_id, r.group_size) for r in index} == {d: (min(x), len(x)) for d, x in wanted.items()} and len(index) == len(wanted)
+    assert {r.shard for r in index} <= set(range(shards)) and all(r.shard == int(exact_dedup.shard_of(np.array([bytes(r.digest)], "S4"), shards)[0]) for r in index)
+
+
 def test_exact_filter_and_merge():
     rnd = np.random.default_rng(1)
     runs = []
