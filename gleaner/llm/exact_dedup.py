@@ -266,11 +266,12 @@ def find_copies(docs: DataFrame, digest: Callable[[Column], Column] = sha256_dig
     same_id = several.where("_own").join(stays.select(F.col("digest").alias("_of"), F.col("tie").alias("_first")), (F.col("digest") == F.col("_of")) & (F.col("tie") != F.col("_first")))
     unlike = same_id.select("doc_id", "tie", "digest", F.lit(0).alias("_at"), F.lit(False).alias("_stays")).distinct()
     wanted = hits.unionByName(unlike).unionByName(stays).withColumnsRenamed({"doc_id": "_id", "digest": "_digest", "tie": "_tie"})
-    sides = ws.save(
+    read = ws.save(
         docs.select("doc_id", "text", tie.alias("tie"))
         .join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
-        .withColumn("_text", squeezed(F.col("text"))).where(digest(F.col("_text")) == F.col("_digest"))
-        .select("_id", "_digest", "_tie", "_at", "_stays", "_text"), "sides")
+        .select("_id", "_digest", "_tie", "_at", "_stays", "text"), "sides")
+    # only now: a test of the digest above would become a key of the join, made for every text
+    sides = read.withColumn("_text", squeezed(F.col("text"))).where(digest(F.col("_text")) == F.col("_digest")).drop("text")
     kept_text = sides.where("_stays").groupBy("_digest").agg(F.min("_text").alias("_kept_text"), F.max("_at").alias("_many")).select("_digest", "_kept_text", F.explode(F.sequence(F.lit(0), F.col("_many") - 1)).alias("_at"))
     differs = ws.save(
         sides.where("not _stays").join(kept_text, ["_digest", "_at"]).where(F.col("_text") != F.col("_kept_text"))
