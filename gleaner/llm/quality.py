@@ -105,20 +105,47 @@ def base_counts(raw: np.ndarray, at: np.ndarray, texts: list[bytes], cut: list[l
     }
 
 
-def _candidates(share: float):
+CANDIDATES = "lang string, word binary, n long, total long"
+#: Distinct words that a task counts before it hands them on and starts anew.
+COUNTED_WORDS = 500_000
+
+
+def _candidates(share: float, most: int = COUNTED_WORDS):
+    """For each stretch of a task's texts and each language: words with ``share`` of all its words or more, their counts and that of all (name: empty)."""
+
+    def emit(counts: dict[str | None, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, own in counts.items():
+            total = own.total()
+            words = [b"", *(w for w, n in own.items() if n >= share * total)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([lang] * len(words), pa.string()), pa.array(words, pa.binary()), pa.array([total, *(own[w] for w in words[1:])], pa.int64()), pa.array([total] * len(words), pa.int64())], ["lang", "word", "n", "total"])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str | None, Counter] = defaultdict(Counter)
         for batch in in_batches(batches, "text"):
             for lang, text in zip(batch.column("lang").to_pylist(), binary_list(batch.column("text"))):
                 counts[lang].update(text.lower().split())
-        for lang, own in counts.items():
-            least = share * own.total()
-            words = [w for w, n in own.items() if n >= least]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.binary())], ["lang", "word"])
+            if sum(map(len, counts.values())) > most:
+                yield from emit(counts)
+                counts.clear()
+        yield from emit(counts)
 
     return scan
 
 
+def may_be_common(texts: DataFrame, share: float = COMMON_SHARE, most: int = COUNTED_WORDS) -> DataFrame:
+    """(lang, word): 2 / share words of a language at most, and none is missing that has ``share`` of its words.
+
+    Stretches name words from half the share on, so where they don't name a word it has less than half of the share.  A word
+    stays if its named counts and half the share of all other stretches reach the share; then the named counts alone are half of it.
+    """
+    named = texts.mapInArrow(_candidates(share / 2, most), CANDIDATES).groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("total").alias("named"))
+    total = named.where("word = X''").select(F.col("lang").alias("of"), F.col("n").alias("total"))  # one row for each language
+    joined = named.where("word <> X''").join(F.broadcast(total), F.col("lang").eqNullSafe(F.col("of")))
+    reach = F.col("n") + share / 2 * (F.col("total") - F.col("named"))
+    return joined.where(reach >= share * F.col("total") * (1 - 1e-9)).select("lang", "word")
+
+
 def _count(words_of: dict[str | None, set[bytes]]):
     """Exact counts for each language: named words, all words (name: empty) and character classes (name: a digit after a zero byte)."""
 
@@ -166,9 +193,8 @@ def references(docs: DataFrame) -> dict[str | None, Reference]:
     """The reference of each language, from all documents; a few dozen numbers a language reach the driver."""
     ws = Workspace(docs.sparkSession, "quality")
     texts = docs.select("lang", "text")
-    found = texts.mapInArrow(_candidates(COMMON_SHARE), "lang string, word binary").distinct()
     words: dict[str | None, set[bytes]] = defaultdict(set)
-    for r in found.collect():
+    for r in ws.save(may_be_common(texts), "candidates", small=True).collect():  # 500 for each language at most
         words[r.lang].add(bytes(r.word))
     counted = texts.mapInArrow(_count(dict(words)), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts: dict[str | None, dict[bytes, int]] = defaultdict(dict)

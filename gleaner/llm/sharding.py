@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import WAVES, Workspace, parallelism
+from .common import WAVES, Workspace, nullable, parallelism
 
 SHARDS, SEED, ROUNDS = 16, 42, 8
 
@@ -72,12 +73,14 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done += n
 
 
-def _place(n: int, shards: int, seed: int):
+def _place(n: int, shards: int, seed: int, names: tuple[str, str, str] = ("row", "shard", "slot")):
+    """Adds the shard and slot of each row number."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         permute = Feistel(n, seed)
         for batch in batches:
-            p = permute(batch.column("row").to_numpy())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((p % shards).astype(np.int32)), pa.array(p // shards)], [*batch.schema.names, "shard", "slot"])
+            p = permute(batch.column(names[0]).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((p % shards).astype(np.int32)), pa.array(p // shards)], [*batch.schema.names, *names[1:]])
 
     return scan
 
@@ -99,11 +102,23 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataF
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED) -> None:
-    """The rows of ``docs`` in shuffled order: Parquet folders shard=k, each file a range of slots, sorted.
+    """The rows of ``docs``, with all their columns, in shuffled order: Parquet folders _shard=k of files sorted by _slot.
 
-    doc_ids must be unique here.
+    Whole rows are sorted and numbered as ``shard_rows`` numbers them, so nothing is joined and repeated or null doc_ids are
+    rows like any other.
     """
-    places = shard_rows(docs, shards, seed).select(F.col("doc_id").alias("_place_id"), "shard", "slot")
-    placed = docs.drop("shard", "slot").join(places, F.col("doc_id").eqNullSafe(F.col("_place_id"))).drop("_place_id")
-    n = parallelism(docs.sparkSession)
-    placed.repartitionByRange(n, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    ws = Workspace(docs.sparkSession, "shards")
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumns({"_tie": F.xxhash64("text"), "_size": F.octet_length(text) + 1, "_crc": F.crc32(text.cast("binary"))})
+    order = ["doc_id", "_tie", "_size", "_crc"]
+    n = parallelism(ws.spark)
+    sorted_ = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).drop(*order[1:])
+    local = ws.save(sorted_.withColumn("_id", F.monotonically_increasing_id()), "rows", by_partition=True)  # the partition's number and the row's in it
+    split = local.withColumns({"_part": F.shiftright("_id", 33).cast("int"), "_local": F.col("_id").bitwiseAND((1 << 33) - 1)})
+    counts = sorted((r["_part"], r["n"]) for r in split.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())  # one row for each partition
+    starts = np.cumsum([0, *(c for _, c in counts)]).tolist()
+    base = ws.spark.createDataFrame([(p, s) for (p, _), s in zip(counts, starts)], "_part int, _base long")
+    numbers = split.join(F.broadcast(base), "_part").withColumn("_row", F.col("_base") + F.col("_local"))
+    placed = numbers.select(*[F.col(f"`{c}`") for c in docs.columns], "_row")
+    places = placed.mapInArrow(_place(starts[-1], shards, seed, ("_row", "_shard", "_slot")), T.StructType([*nullable(placed.schema).fields, T.StructField("_shard", T.IntegerType()), T.StructField("_slot", T.LongType())]))
+    places.drop("_row").repartitionByRange(n, "_shard", "_slot").sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").parquet(path)

@@ -11,8 +11,8 @@ Fingerprints within ``radius`` bits are linked, exactly:
   fingerprints within the radius agree on some choice of that many pieces.  The scheme with the fewest keys
   whose blocks are expected to hold at most BLOCK_NODES is taken, for any number of nodes.
 * In each block a BK-tree is built, its children keyed by Hamming distance to the parent, and each node
-  follows only edges within the radius of its own distance.  A block that holds more than one in 1024 of all keyed
-  rows (and over TREE_NODES) is dealt to several tree shards, each of which every node of the block visits.
+  follows only edges within the radius of its own distance.  A block of over TREE_NODES nodes is dealt to several tree
+  shards, each of which every node of the block visits.
 * A block gives a star for each local group of linked nodes, not all pairs; connected components join the stars.
 
 Cases: null text has no word; repeated rows are one node; an empty table gives an empty result; null doc_ids are
@@ -194,10 +194,12 @@ def _link(radius: int):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        rows, least = 0, 4 * TREE_NODES
         for batch in batches:
             cols = [batch.column(c).to_numpy() for c in ("block", "tree", "role", "fp", "doc_id")]
             held.append(tuple(cols))
-            if sum(len(h[0]) for h in held) < 4 * TREE_NODES:
+            rows += len(cols[0])
+            if rows < least:
                 continue
             cols = [np.concatenate(c) for c in zip(*held)]
             cut = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
@@ -205,6 +207,8 @@ def _link(radius: int):
             if cut:
                 yield from run([c[:cut] for c in cols])
             held = [tuple(c[cut:] for c in cols)]
+            rows = len(held[0][0])
+            least = max(4 * TREE_NODES, 2 * rows)  # a long block is put together a few times, not at each batch
         if held and sum(len(h[0]) for h in held):
             yield from run([np.concatenate(c) for c in zip(*held)])
 
@@ -225,13 +229,12 @@ def linked_nodes(ws: Workspace, nodes: DataFrame, radius: int = RADIUS, block_no
     keyed = ws.save(nodes.select(F.explode(block_keys(F.col("fp"), pieces, agree)).alias("block"), "fp", "doc_id"), "keyed")
     sizes = ws.save(keyed.groupBy("block").agg(F.count(F.lit(1)).alias("size")), "sizes", small=True)
     rows = sizes.agg(F.sum("size")).first()[0] or 0
-    # fewer than 1024 blocks hold more than one in 1024 of all rows
-    large = sizes.where(F.col("size") > max(tree_nodes, rows // 1024)).select("block", F.ceil(F.col("size") / tree_nodes).cast("int").alias("trees"))
+    large = sizes.where(F.col("size") > tree_nodes).select("block", F.ceil(F.col("size") / tree_nodes).cast("int").alias("trees"))
     alone = sizes.where("size = 1").count() < rows
     if not alone:
         return ws.spark.createDataFrame([], "a long, b long")
     rows = (
-        keyed.join(F.broadcast(large), "block", "left")
+        keyed.join(large, "block", "left")  # a few large blocks are broadcast, many are shuffled and skewed ones split
         .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.coalesce("trees", F.lit(1))).cast("int"))
         .withColumn("tree", F.explode(F.sequence(F.lit(0), F.coalesce("trees", F.lit(1)) - 1)))
         .select("block", "tree", (F.col("tree") != F.col("own")).cast("int").alias("role"), "fp", "doc_id")

@@ -173,6 +173,20 @@ def test_quality_common_words_are_exact(spark, sf_dir):
         assert known[lang].words[:-1] == pytest.approx([n / total for n, _ in wanted])
 
 
+@pytest.mark.parametrize("most", [40, 10**6])
+def test_quality_candidates_are_few_and_complete(spark, most):
+    rnd = random.Random(9)
+    words = [f"w{min(int(rnd.expovariate(0.02)), 400)}" for _ in range(20_000)]
+    rows = [(i, " ".join(words[i * 20 : i * 20 + 20])) for i in range(1000)]
+    docs = frame(spark, rows, 7)
+    found = defaultdict(set)
+    for r in quality.may_be_common(docs.select("lang", "text"), 0.01, most).collect():
+        found[r.lang].add(bytes(r.word).decode())
+    for lang in ("en", "fr", None):
+        own = Counter(w for r in docs.collect() if r.lang == lang for w in r.text.split())
+        assert {w for w, n in own.items() if n >= 0.01 * own.total()} <= found[lang] <= {w for w, n in own.items() if n >= 0.005 * own.total()}
+
+
 def test_quality_parts_good_from_poor(spark):
     sf = "/root/testdata/sf0.01"
     judged = quality.judge(common.documents(spark, sf)).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed and n_words >= 60").collect()
@@ -325,8 +339,13 @@ def test_sharding(docs):
 def test_sharding_repeats(spark, tmp_path):
     found = sharding.shard_rows(frame(spark, [(1, "a")] * 20 + [(None, None)] * 20), 4).collect()
     assert sorted((r.shard, r.slot) for r in found) == [(s, k) for s in range(4) for k in range(10)]
-    sharding.write_shards(frame(spark, texts()), f"file://{tmp_path}/shards", 4)
-    assert spark.read.parquet(f"file://{tmp_path}/shards").count() == len(texts())
+    rows = texts() + [(3, "again"), (3, "again"), (None, None), (None, "n"), (7, None)]
+    given = frame(spark, rows).withColumns({"shard": F.lit("mine"), "slot": F.col("n")})
+    sharding.write_shards(given, f"file://{tmp_path}/shards", 4)
+    back = spark.read.parquet(f"file://{tmp_path}/shards")
+    assert Counter((r.doc_id, r.text, r.shard, r.slot) for r in back.collect()) == Counter((i, t, "mine", 6) for i, t in rows)
+    wanted = Counter((r.doc_id, r.shard, r.slot) for r in sharding.shard_rows(given, 4).collect())
+    assert Counter((r.doc_id, r._shard, r._slot) for r in back.collect()) == wanted
 
 
 # 6 and 7 token files, 9 BPE
@@ -627,6 +646,68 @@ def test_near_copies_with_null_and_repeated_ids(spark):
 # all
 
 
+def odd_rows():
+    return [(3, "a b"), (3, "a b"), (3, "A  b"), (None, None), (None, "x y"), (None, "x y"), (1, ""), (None, "é " * 300)]
+
+
+def test_token_files_with_odd_ids(spark, tokenizer, tmp_path):
+    """Null ids come first, equal ids are ordered by text; a flat file counts every row."""
+    token_files.write_parquet(frame(spark, odd_rows()), f"file://{tmp_path}/ids", queries.tokenizer_path())
+    found, start = token_files.checksums(spark, f"file://{tmp_path}/ids").orderBy("start").collect(), 0
+    order = sorted(odd_rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    assert len(found) == len(order)
+    for r, (i, t) in zip(found, order):
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        start += len(ids)
+    ws = common.Workspace(spark, "t")
+    folder, manifest = token_files.write_flat(ws, frame(spark, odd_rows()), queries.tokenizer_path(), queries.SEPARATOR)
+    counts = token_files.scan_separators(ws, folder, manifest.select("file").distinct(), queries.SEPARATOR)
+    assert Counter((r.doc_id, r.n_tokens) for r in manifest.join(counts, ["file", "doc_no"]).collect()) == Counter((r.doc_id, r.n_tokens) for r in found)
+
+
+def test_token_files_of_nothing(spark, docs, tmp_path):
+    token_files.write_parquet(docs.limit(0), f"file://{tmp_path}/ids", queries.tokenizer_path())
+    assert token_files.checksums(spark, f"file://{tmp_path}/ids").count() == token_files.read_metadata(spark, f"file://{tmp_path}/ids").count() == 0
+    ws = common.Workspace(spark, "t")
+    folder, manifest = token_files.write_flat(ws, docs.limit(0), queries.tokenizer_path(), queries.SEPARATOR)
+    assert manifest.count() == token_files.scan_separators(ws, folder, manifest.select("file").distinct(), queries.SEPARATOR).count() == 0
+
+
+def test_pipeline_with_odd_rows(spark, sf_dir):
+    """Null and repeated ids, null, empty and equal texts, a very long one and columns with other operators' names, and no rows at all."""
+    import corpus_pipeline as pipe
+
+    rnd = random.Random(17)
+    prose = lambda n: " ".join(rnd.choice("the of and to in a is that for it".split()) if rnd.random() < 0.6 else "".join(rnd.choices("abcdefgh", k=5)) for _ in range(n))
+    texts_ = [prose(80) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(texts_)] + [(None, texts_[3]), (None, prose(90)), (None, prose(70)), (5, prose(60)), (5, texts_[5]), (6, None), (7, ""), (8, prose(30_000)), (9, texts_[9]), (9, texts_[9])]
+    given = frame(spark, rows)
+    for docs in (given, given.limit(0)):
+        ws = common.Workspace(spark, "p")
+        for i, (_, stage) in enumerate(pipe.STAGES):
+            before, docs = docs, ws.save(stage(spark, docs, sf_dir), f"{i}")
+            assert i == 4 or docs.columns == before.columns
+            pairs = [(r.doc_id, r.text) for r in before.collect()]
+            left = Counter((r.doc_id, r.text) for r in docs.collect()) if i < 4 else None
+            if i == 0:
+                assert left == Counter((r.doc_id, r.text) for r in quality.keep_good(before).collect())
+            elif i == 1:
+                groups = defaultdict(list)
+                for d, t in pairs:
+                    groups[SPACE.sub(" ", t or "")].append(d)
+                assert Counter((d, SPACE.sub(" ", t or "")) for d, t in left.elements()) == Counter((min((d for d in g if d is not None), default=None), t) for t, g in groups.items())
+            elif i == 2:
+                prints = {t: brute_print(t) for _, t in pairs}
+                parts = brute_components({k: p for k, p in enumerate(prints.values())}, 4)
+                part = dict(zip(prints, (parts[k] for k in range(len(prints)))))
+                least = {c: min((d for d, t in pairs if part[t] == c and d is not None), default=None) for c in set(part.values())}
+                assert sum(left.values()) == len(left) == len(least) and all(least[part[t]] == d for d, t in left)
+            elif i == 3:
+                assert left == sum((Counter({(d, t): len(x)}) for (d, t, _), x in brute_mix(mix_rows(before), mixing.BLOCK_WORDS)[1].items() if x), Counter())
+        assert docs.count() == before.count()
+
+
 def test_lookup_with_heavy_keys(spark):
     ws = common.Workspace(spark, "t")
     rows = ws.save(spark.createDataFrame([(i % 3 if i % 2 else i, i) for i in range(3000)], "k long, v long"), "rows")
