@@ -139,7 +139,8 @@ def may_be_common(texts: DataFrame, share: float = COMMON_SHARE, most: int = COU
     Stretches name words from half the share on, so where they don't name a word it has less than half of the share.  A word
     stays if its named counts and half the share of all other stretches reach the share; then the named counts alone are half of it.
     """
-    named = texts.mapInArrow(_candidates(share / 2, most), CANDIDATES).groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("total").alias("named"))
+    counted = texts.mapInArrow(_candidates(share / 2, most), CANDIDATES).groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("total").alias("named"))
+    named = Workspace(texts.sparkSession, "common").save(counted, "named", small=True)  # read twice
     total = named.where("word = X''").select(F.col("lang").alias("of"), F.col("n").alias("total"))  # one row for each language
     joined = named.where("word <> X''").join(F.broadcast(total), F.col("lang").eqNullSafe(F.col("of")))
     reach = F.col("n") + share / 2 * (F.col("total") - F.col("named"))
