@@ -90,6 +90,81 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
 }
 
+def _feistel_sql(shards: int = sharding.SHARDS) -> str:
+    """The law `rows` in SQL: numbers of the rows by doc_id, the same network in 64-bit arithmetic, walked until below the row count; CRC-32 by bytes."""
+    keys = [int(k) for k in sharding.Feistel(2).keys]
+    side = "SELECT row, k, half, x >> half AS l, x & ((1::UBIGINT << half) - 1) AS r FROM walk, c WHERE k = 0 OR x >= n"
+    for key in keys:
+        mixed = f"((r::UHUGEINT + {key}::UHUGEINT) * {0xBF58476D1CE4E5B9}::UHUGEINT % {1 << 64}::UHUGEINT)::UBIGINT"
+        round_ = f"((xor(y, y >> 31)::UHUGEINT * {0x94D049BB133111EB}::UHUGEINT % {1 << 64}::UHUGEINT)::UBIGINT >> (64 - half))"
+        side = f"SELECT row, k, half, r AS l, xor(l, {round_}) AS r FROM (SELECT *, {mixed} AS y FROM ({side}))"
+    return f"""
+        WITH RECURSIVE t AS (SELECT doc_id, encode(coalesce(text, '')) AS x, row_number() OVER (ORDER BY doc_id) - 1 AS row FROM documents),
+        c AS (SELECT count(*) AS n, greatest(1, (len(bin(greatest(count(*) - 1, 1))) + 1) // 2) AS half FROM t),
+        walk AS (SELECT row, row::UBIGINT AS x, 0 AS k FROM t UNION ALL SELECT row, (l << half) | r, k + 1 FROM ({side})),
+        placed AS (SELECT row, max_by(x, k)::BIGINT AS p FROM walk GROUP BY row),
+        remainders AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda v, z: xor(v >> 1, (v & 1) * 3988292384))) AS part),
+        bytes AS (SELECT doc_id, row, octet_length(x) + 1 AS size, list_transform(regexp_extract_all(hex(x), '..'), lambda h: ('0x' || h)::BIGINT) AS b FROM t)
+        SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, b), lambda v, y: xor(v >> 8, part[(xor(v, y) & 255) + 1])), 4294967295)::BIGINT AS text_crc32,
+               'rows' AS law, (p % {shards})::INT AS shard, p // {shards} AS slot, NULL::INT AS grown_shard
+        FROM bytes JOIN placed USING (row), remainders
+    """
+
+
+def _simhash_sql() -> str:
+    """XXH64 of each distinct shingle in 64-bit arithmetic, bits by majority, all pairs of fingerprints and all that can be reached.
+
+    The five primes are fixed values of XXH64.
+    """
+    p1, p2, p3, p4, p5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+    seed, top = simhash.SEED, 1 << 64
+    low = lambda x: f"(({x}) % {top}::UHUGEINT)"  # noqa: E731  all numbers here are UHUGEINT below 2**64
+    times = lambda x, k: low(f"{x} * {k % top}::UHUGEINT")
+    plus = lambda x, y: low(f"{x} + {y}")
+    turn = lambda x, r: f"({times(x, 1 << r)} + ({x} // {1 << (64 - r)}::UHUGEINT))"
+    number = lambda k: f"{k % top}::UHUGEINT"
+    steps: list[str] = ["SELECT s, hex(encode(s)) AS h, octet_length(encode(s)) AS n FROM (SELECT DISTINCT s FROM shingles)"]
+    known: set[str] = set()
+
+    def step(**new: str) -> None:
+        """One more level for new or changed columns, so that no expression is written out twice over."""
+        shown = ", ".join(f"{e} AS {c}" for c, e in new.items())
+        steps.append(f"SELECT * REPLACE ({shown}) FROM ({steps[-1]})" if new.keys() <= known else f"SELECT *, {shown} FROM ({steps[-1]})")
+        known.update(new)
+
+    bytes_of = lambda at, many: "('0x' || " + " || ".join(f"substr(h, ({at}) * 2 + {2 * j + 1}, 2)" for j in reversed(range(many))) + ")::UBIGINT::UHUGEINT"
+    reduced = lambda first, items, body: f"list_reduce(list_prepend({first}, {items}), lambda a, b: {body})"
+    step(lanes=f"list_transform(range(n // 8), lambda i: {bytes_of('8 * i', 8)})", striped="n // 32")
+    mixed = lambda a, b: f"{plus(a, times(b, p2))}"
+    for j, init in enumerate((seed + p1 + p2, seed + p2, seed, seed - p1)):
+        step(**{f"v{j}": reduced(number(init), f"list_transform(range(striped), lambda i: lanes[4 * i + {j + 1}])", times(turn(mixed("a", "b"), 31), p1))})
+    step(x=f"CASE WHEN n < 32 THEN {number(seed + p5)} ELSE {low(' + '.join(turn(f'v{j}', r) for j, r in enumerate((1, 7, 12, 18))))} END")
+    for j in range(4):
+        step(k=times(turn(times(f"v{j}", p2), 31), p1))
+        step(x=f"CASE WHEN n < 32 THEN x ELSE {plus(times('xor(x, k)', p1), number(p4))} END")
+    step(x=plus("x", "n::UHUGEINT"))
+    step(rest=f"list_transform(lanes[4 * striped + 1:], lambda b: {times(turn(times('b', p2), 31), p1)})")
+    step(x=reduced("x", "rest", plus(times(turn("xor(a, b)", 27), p1), number(p4))))
+    step(k=f"CASE WHEN n % 8 >= 4 THEN xor(x, {times(bytes_of('n // 8 * 8', 4), p1)}) END")
+    step(x=f"CASE WHEN n % 8 >= 4 THEN {plus(times(turn('k', 23), p2), number(p3))} ELSE x END")
+    step(tail=f"list_transform(range(n // 4 * 4, n), lambda i: {times(bytes_of('i', 1), p5)})")
+    step(x=reduced("x", "tail", times(turn("xor(a, b)", 11), p1)))
+    for shift, prime in ((33, p2), (29, p3), (32, 1)):
+        step(x=times(f"xor(x, x // {1 << shift}::UHUGEINT)", prime))
+    bits = " + ".join(f"CASE WHEN 2 * sum((x >> {b}) & 1) > count(x) THEN {1 << b}::UHUGEINT ELSE 0 END" for b in range(64))
+    return f"""
+        WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        shingles AS MATERIALIZED (SELECT doc_id, array_to_string(w[i:i + {simhash.SHINGLE - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - {simhash.SHINGLE - 2}))) AS i FROM t WHERE len(w) > 0)),
+        hashes AS MATERIALIZED (SELECT s, x::UBIGINT AS x FROM ({steps[-1]})),
+        prints AS MATERIALIZED (SELECT t.doc_id, ({bits})::UBIGINT AS f FROM t LEFT JOIN shingles USING (doc_id) LEFT JOIN hashes USING (s) GROUP BY t.doc_id),
+        nodes AS MATERIALIZED (SELECT f, min(doc_id) AS low FROM prints GROUP BY f),
+        links AS MATERIALIZED (SELECT a.f AS a, b.f AS b FROM nodes a JOIN nodes b ON bit_count(xor(a.f, b.f)::BIT) <= {simhash.RADIUS} AND a.f <> b.f),
+        reach AS (SELECT f AS a, f AS b FROM nodes UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+        SELECT doc_id, lower(lpad(hex(f), 16, '0')) AS fingerprint, component_id
+        FROM prints JOIN (SELECT reach.a, min(low) AS component_id FROM reach JOIN nodes ON nodes.f = reach.b GROUP BY reach.a) ON a = f
+    """
+
+
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
@@ -142,4 +217,6 @@ ORACLES: dict[str, str] = {
         SELECT t.doc_id, len(x) // 2 AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(body, ''))) AS kept_sha256
         FROM t LEFT JOIN own USING (doc_id) LEFT JOIN kept USING (doc_id)
     """,
+    "op5_feistel_sharding": _feistel_sql(),
+    "op10_simhash": _simhash_sql(),
 }
