@@ -14,7 +14,8 @@ by their anchor's hash:
    At the last step a quarter is one window, so equal parts are one content and no group stays large.
 5. Covered spans go back to the documents.
 
-The hashes only bring candidates together; what is covered is decided on the contents themselves.
+The rolling hashes only bring candidates together; what is covered is decided by the index on the contents themselves, and
+for a content that occurs whole several times by its 128-bit digest.
 """
 
 from __future__ import annotations
