@@ -23,12 +23,14 @@ def norm(v: Column) -> Column:
 def unit(v: Column) -> Column:
     """The vector with length 1; an empty or zero vector is an error."""
     length = norm(v)
-    return F.when(length > 0, F.transform(v, lambda x: x / length)).otherwise(F.raise_error(F.lit("a zero vector has no direction")).cast("array<double>"))
+    # a repeated number: inside a lambda the length would be computed for each element
+    return F.when(length > 0, F.zip_with(v, F.array_repeat(length, F.size(v)), lambda x, n: x / n)).otherwise(F.raise_error(F.lit("a zero vector has no direction")).cast("array<double>"))
 
 
 def cosine(a: Column, b: Column) -> Column:
     """Strict cosine: an empty or zero vector is an error."""
-    return dot(unit(a), unit(b))
+    both = norm(a) * norm(b)
+    return F.when(both > 0, dot(a, b) / both).otherwise(F.raise_error(F.lit("a zero vector has no direction")).cast("double"))
 
 
 def cosine_or_zero(a: Column, b: Column) -> Column:
