@@ -38,8 +38,10 @@ def hex_halves(hi: Column, lo: Column) -> Column:
 def average_hash(tile: Column) -> Column:
     """Hash of a tile of 64 values: a bit is 1 where the value is at least the mean; the first is the highest bit."""
     mean = F.aggregate(tile, F.lit(0.0), lambda s, x: s + x) / 64
-    fold = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda s, x: s * 2 + F.when(x >= mean, 1).otherwise(0))
-    return hex_halves(fold(F.slice(tile, 1, 32)), fold(F.slice(tile, 33, 32)))
+    # a repeated number: inside a lambda the mean would be computed for each element
+    bits = F.zip_with(tile, F.array_repeat(mean, 64), lambda x, m: F.when(x >= m, 1).otherwise(0))
+    fold = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda s, x: s * 2 + x)
+    return hex_halves(fold(F.slice(bits, 1, 32)), fold(F.slice(bits, 33, 32)))
 
 
 def word_hash(df: DataFrame, key: str, text: str) -> DataFrame:
