@@ -13,7 +13,13 @@ Fingerprints within ``radius`` bits are linked, exactly:
 * In each block a BK-tree is built, its children keyed by Hamming distance to the parent, and each node
   follows only edges within the radius of its own distance.  A block of over TREE_NODES nodes is dealt to several tree
   shards, each of which every node of the block visits.
-* A block gives a star for each local group of linked nodes, not all pairs; connected components join the stars.
+* A block gives a star for each local group of linked nodes, not all pairs; connected components join the stars.  A branch
+  that is of the visitor's own group already is not followed, so a dense group costs far less than all its pairs.
+
+``keep_similar`` looks for a given similarity (Jaccard, sets of five-word shingles).  Short shingles move few bits when a text is edited, so
+documents first meet by fingerprints of two words within 8 bits, as above.  Those that meet any are blocked once more, now with
+the 256-bit fingerprint of their five-word shingles, over which the trees are built: a link needs both, the second within the
+distance expected at the similarity and one standard deviation.
 
 Cases: null text has no word; repeated rows are one node; an empty table gives an empty result; null doc_ids are
 reported and count as larger than any other, and a component of null doc_ids alone has a null component_id; repeated
@@ -22,7 +28,8 @@ doc_ids are told apart by their texts; very long texts are hashed in bounded pie
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -31,29 +38,74 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, binary_list, connected_components, dealt, gathered, in_batches, parallelism, skew_safe_lookup
+from .common import Workspace, binary_list, connected_components, dealt, flat_bytes, gathered, in_batches, parallelism, skew_safe_lookup
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
+#: Shingle and radius by which similar texts meet; shingle and words of 64 bits of the fingerprint by which they are judged.
+MEET_SHINGLE, MEET_RADIUS, WIDE_SHINGLE, LANES = 2, 8, 5, 4
 #: Expected nodes of a block; nodes of one tree; most (query, node) visits held at a time; shingles hashed at a time.
 BLOCK_NODES, TREE_NODES, VISITS, PIECE = 1024, 20_000, 1 << 20, 1 << 16
+#: Expected nodes of a block at the larger radius: more keys cost less there than more candidates.
+MEET_NODES = 64
 _LAST = (1 << 63) - 1
 
 
-def text_fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The fingerprint of one text; bytes.split and bytes.lower know ASCII only, as the definition does."""
+def _words(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The lower-cased words joined by one space, each one's start and end; bytes.split and bytes.lower know ASCII only."""
     words = text.lower().split()
-    if not words:
-        return 0
-    flat = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.r_[0, ends[:-1] + 1]
-    n = max(1, len(words) - shingle + 1)
-    first, last = starts[:n].tolist(), (ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]).tolist()
-    ones, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for a in range(0, n, PIECE):
-        h = np.array([digest(flat[i:j], SEED) for i, j in zip(first[a : a + PIECE], last[a : a + PIECE])], np.uint64)
-        ones += count_bits(h)
-    return int(((2 * ones > n).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum())
+    return b" ".join(words), np.r_[np.zeros(min(1, len(words)), np.int64), ends[:-1] + 1], ends
+
+
+def _hashes(flat: bytes, starts: np.ndarray, ends: np.ndarray, shingle: int) -> Iterator[np.ndarray]:
+    """The hashes of all shingles, PIECE at a time; fewer words make one shingle, no word none."""
+    digest = xxhash.xxh64_intdigest
+    n = max(1, len(starts) - shingle + 1)
+    first, last = starts[:n].tolist(), (ends[shingle - 1 :] if len(starts) >= shingle else ends[-1:]).tolist()
+    for a in range(0, len(first), PIECE):
+        yield np.array([digest(flat[i:j], SEED) for i, j in zip(first[a : a + PIECE], last[a : a + PIECE])], np.uint64)
+
+
+def _fold(hashes: Iterable[np.ndarray], lanes: int) -> np.ndarray:
+    """``lanes`` times 64 bits: 1 where over half the hashes have it, the first lane by the hashes, others by mixed ones."""
+    ones, n = np.zeros((lanes, 64), np.int64), 0
+    for h in hashes:
+        n += len(h)
+        for lane in range(lanes):
+            ones[lane] += count_bits(_mixed(h, lane) if lane else h)
+    return ((2 * ones > n).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1)
+
+
+def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
+    h = h + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def text_fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """The fingerprint of one text."""
+    return int(_fold(_hashes(*_words(text), shingle), 1)[0])
+
+
+def two_fingerprints(text: bytes, shingle: int = MEET_SHINGLE, wide: int = WIDE_SHINGLE) -> tuple[int, bytes]:
+    """The fingerprint by which texts meet, and the wide one by which they are judged, both of distinct shingles."""
+    words = _words(text)
+    return int(_fold(_distinct(_hashes(*words, shingle)), 1)[0]), _fold(_distinct(_hashes(*words, wide)), LANES).tobytes()
+
+
+def _distinct(hashes: Iterator[np.ndarray]) -> list[np.ndarray]:
+    return [np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]))]
+
+
+def wide_radius(similarity: float) -> int:
+    """Bits in which wide fingerprints may differ: those expected at the similarity and one standard deviation.
+
+    Texts of similarity s and like length have a cosine of 2s / (1 + s), and a bit differs with probability angle / pi.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * LANES
+    return int(bits * p + math.sqrt(bits * p * (1 - p)))
 
 
 _SPREAD = np.array([[b >> i & 1 for i in range(8)] for b in range(256)], np.uint8)
@@ -69,20 +121,30 @@ def count_bits(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fingerprints(shingle: int):
+def _fingerprints(shingle: int, wide: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_batches(batches, "text"):
-            found = [text_fingerprint(x, shingle) for x in binary_list(batch.column("text"))]
+            texts = binary_list(batch.column("text"))
             rest = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(np.array(found, np.uint64).view(np.int64))], [*rest, "fp"])
+            if wide:
+                found, wides = zip(*[two_fingerprints(x, shingle, wide) for x in texts])
+            else:
+                found, wides = [text_fingerprint(x, shingle) for x in texts], None
+            more = [pa.array(wides, pa.binary())] if wide else []
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in rest), pa.array(np.array(found, np.uint64).view(np.int64)), *more], [*rest, "fp", *["wide"] * len(more)])
 
     return scan
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, digests: bool = False) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long, one row for each row of ``docs``; with ``digests`` the text's too."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, digests: bool = False, wide: int = 0) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long, one row for each row of ``docs``.
+
+    With ``digests`` the text's digest too, with ``wide`` the wide fingerprint of shingles of that many words.
+    """
     also = [_text_digest().alias("digest")] if digests else []
-    return docs.select("doc_id", "text", *also).mapInArrow(_fingerprints(shingle), "doc_id long, " + "digest binary, " * digests + "fp long")
+    schema = "doc_id long, " + "digest binary, " * digests + "fp long" + ", wide binary" * bool(wide)
+    return docs.select("doc_id", "text", *also).mapInArrow(_fingerprints(shingle, wide), schema)
 
 
 def _text_digest():
@@ -109,47 +171,77 @@ def block_keys(fp, pieces: int, agree: int):
     return F.array(*keys)
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints of one word each, or of a row of words each."""
+    bits = np.bitwise_count(a ^ b)
+    return bits.astype(np.int64) if bits.ndim == 1 else bits.sum(axis=1, dtype=np.int64)
+
+
 class BKForest:
     """One BK-tree for each run of equal ``tree`` numbers; the first node of a run is its root."""
 
     def __init__(self, fp: np.ndarray, tree: np.ndarray):
         n = len(fp)
+        self.edges = edges = 64 * (fp.shape[1] if fp.ndim == 2 else 1) + 1
+        self.levels: list[np.ndarray] = []
         self.fp, self.roots = fp, np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]])
         parent, edge = np.full(n, -1, np.int64), np.zeros(n, np.int64)
         at = self.roots[np.cumsum(np.r_[True, tree[1:] != tree[:-1]]) - 1]
         rest = np.setdiff1d(np.arange(n), self.roots, assume_unique=True)
         while len(rest):
-            slot = at[rest] * 65 + np.bitwise_count(fp[rest] ^ fp[at[rest]])
+            slot = at[rest] * edges + distance(fp[rest], fp[at[rest]])
             order = np.argsort(slot, kind="stable")
             rest, slot = rest[order], slot[order]
             head = np.r_[True, slot[1:] != slot[:-1]]
             child = rest[head]
-            parent[child], edge[child] = slot[head] // 65, slot[head] % 65
+            parent[child], edge[child] = slot[head] // edges, slot[head] % edges
+            self.levels.append(child)
             down = child[np.cumsum(head) - 1]
             rest = rest[~head]
             at[rest] = down[~head]
         kids = np.flatnonzero(parent >= 0)
-        slot = parent[kids] * 65 + edge[kids]
+        self.parent = parent
+        slot = parent[kids] * edges + edge[kids]
         order = np.argsort(slot, kind="stable")
         self.kids, self.slot = kids[order], slot[order]
 
-    def within(self, queries: np.ndarray, roots: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query number, node) of every node within the radius, a bounded number of visits at a time."""
-        stack = [(np.arange(a, min(a + VISITS // 16, len(queries))), roots[a : a + VISITS // 16]) for a in range(0, len(queries), VISITS // 16)]
-        while stack:
-            q, v = stack.pop()
-            d = np.bitwise_count(queries[q] ^ self.fp[v]).astype(np.int64)
-            hit = d <= radius
-            if hit.any():
-                yield q[hit], v[hit]
-            low = np.searchsorted(self.slot, v * 65 + np.maximum(d - radius, 1))
-            many = np.searchsorted(self.slot, v * 65 + np.minimum(d + radius, 64), "right") - low
-            ends = np.cumsum(many)
-            for a, b in _pieces(ends):
-                m = many[a:b]
-                first = np.repeat(low[a:b] - (ends[a:b] - m) + (ends[a - 1] if a else 0), m)
-                if len(first):
-                    stack.append((np.repeat(q[a:b], m), self.kids[first + np.arange(len(first))]))
+    def alike(self, label: np.ndarray) -> np.ndarray:
+        """Whether all nodes below have the node's own label."""
+        same = np.ones(len(self.fp), bool)
+        for child in reversed(self.levels):
+            up = self.parent[child]
+            np.logical_and.at(same, up, same[child] & (label[child] == label[up]))
+        return same
+
+    def within(self, queries: np.ndarray, roots: np.ndarray, radius: int, label: np.ndarray | None = None, rows: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query number, node) of every node within the radius, a bounded number of visits at a time.
+
+        With ``label``, which the caller may merge after each answer, and the nodes' ``rows`` among the queries, branches
+        that hold the query's own label alone are left out; a spread few ask first, so that dense groups are soon of one label.
+        """
+        n, most = len(queries), VISITS // 16
+        step = np.arange(n)
+        turns = [step] if label is None else [step[step % 64 == 0], step[(step % 8 == 0) & (step % 64 != 0)], step[step % 8 != 0]]
+        for turn in turns:
+            same = None if label is None else self.alike(label[rows])
+            stack = [(turn[a : a + most], roots[turn[a : a + most]]) for a in range(0, len(turn), most)]
+            while stack:
+                q, v = stack.pop()
+                if same is not None:
+                    open_ = ~(same[v] & (label[q] == label[rows[v]]))
+                    q, v = q[open_], v[open_]
+                d = distance(queries[q], self.fp[v])
+                hit = d <= radius
+                if hit.any():
+                    yield q[hit], v[hit]
+                low = np.searchsorted(self.slot, v * self.edges + np.maximum(d - radius, 0))
+                many = np.searchsorted(self.slot, v * self.edges + np.minimum(d + radius, self.edges - 1), "right") - low
+                ends = np.cumsum(many)
+                for a, b in _pieces(ends):
+                    m = many[a:b]
+                    first = np.repeat(low[a:b] - (ends[a:b] - m) + (ends[a - 1] if a else 0), m)
+                    if len(first):
+                        stack.append((np.repeat(q[a:b], m), self.kids[first + np.arange(len(first))]))
 
 
 def _pieces(ends: np.ndarray) -> list[tuple[int, int]]:
@@ -176,18 +268,26 @@ def join_sets(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def _link(radius: int):
-    """Rows come sorted by block, tree shard, role (0: in the tree, 1: visits only) and id."""
+def _link(radius: int, wide_bits: int | None):
+    """Rows come sorted by block, tree shard, role (0: in the tree, 1: visits only) and id.
 
-    def stars(key, role, fp, ids) -> pa.RecordBatch | None:
+    With ``wide_bits`` the trees are over the wide fingerprints, and links must be within the radius too.
+    """
+
+    def stars(key, role, fp, ids, wide=None) -> pa.RecordBatch | None:
         tree_row = np.flatnonzero(role == 0)
-        forest = BKForest(fp[tree_row], key[tree_row])
-        root_of = forest.roots[np.searchsorted(key[tree_row][forest.roots], key)] if len(tree_row) else None
-        if root_of is None:
+        if not len(tree_row):
             return None
+        prints, reach = (fp, radius) if wide is None else (wide, wide_bits)
+        forest = BKForest(prints[tree_row], key[tree_row])
+        root_of = forest.roots[np.searchsorted(key[tree_row][forest.roots], key)]
         label = np.arange(len(fp))
-        for q, v in forest.within(fp, root_of, radius):
-            join_sets(label, q, tree_row[v])
+        for q, v in forest.within(prints, root_of, reach, label, tree_row):
+            v = tree_row[v]
+            if wide is not None:
+                near = distance(fp[q], fp[v]) <= radius
+                q, v = q[near], v[near]
+            join_sets(label, q, v)
         far = np.flatnonzero(label != np.arange(len(fp)))
         far = far[ids[far] != ids[label[far]]]
         return pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[label[far]])], ["a", "b"])
@@ -197,6 +297,8 @@ def _link(radius: int):
         rows, least = 0, 4 * TREE_NODES
         for batch in batches:
             cols = [batch.column(c).to_numpy() for c in ("block", "tree", "role", "fp", "doc_id")]
+            if wide_bits is not None:
+                cols.append(flat_bytes(batch.column("wide"))[0].reshape(-1, 8 * LANES).view(np.uint64))
             held.append(tuple(cols))
             rows += len(cols[0])
             if rows < least:
@@ -213,20 +315,24 @@ def _link(radius: int):
             yield from run([np.concatenate(c) for c in zip(*held)])
 
     def run(cols) -> Iterator[pa.RecordBatch]:
-        block, tree, role, fp, ids = cols
+        block, tree, role, fp, ids, *wide = cols
         group = np.cumsum(np.r_[True, (block[1:] != block[:-1]) | (tree[1:] != tree[:-1])])
-        out = stars(group, role, fp.view(np.uint64), ids)
+        out = stars(group, role, fp.view(np.uint64), ids, *wide)
         if out is not None and out.num_rows:
             yield out
 
     return scan
 
 
-def linked_nodes(ws: Workspace, nodes: DataFrame, radius: int = RADIUS, block_nodes: int = BLOCK_NODES, tree_nodes: int = TREE_NODES) -> DataFrame:
-    """(a, b): stars of ids that connect all nodes (fp, doc_id) linked within the radius, over all blocks."""
+def linked_nodes(ws: Workspace, nodes: DataFrame, radius: int = RADIUS, block_nodes: int = BLOCK_NODES, tree_nodes: int = TREE_NODES, wide_bits: int | None = None) -> DataFrame:
+    """(a, b): stars of ids that connect all nodes (fp, doc_id) linked within the radius, over all blocks.
+
+    With ``wide_bits`` nodes have a wide fingerprint too, which links must hold within so many bits.
+    """
+    also = [] if wide_bits is None else ["wide"]
     total = nodes.count()
     pieces, agree = block_scheme(total, radius, block_nodes)
-    keyed = ws.save(nodes.select(F.explode(block_keys(F.col("fp"), pieces, agree)).alias("block"), "fp", "doc_id"), "keyed")
+    keyed = ws.save(nodes.select(F.explode(block_keys(F.col("fp"), pieces, agree)).alias("block"), "fp", "doc_id", *also), "keyed")
     sizes = ws.save(keyed.groupBy("block").agg(F.count(F.lit(1)).alias("size")), "sizes", small=True)
     rows = sizes.agg(F.sum("size")).first()[0] or 0
     large = sizes.where(F.col("size") > tree_nodes).select("block", F.ceil(F.col("size") / tree_nodes).cast("int").alias("trees"))
@@ -237,9 +343,9 @@ def linked_nodes(ws: Workspace, nodes: DataFrame, radius: int = RADIUS, block_no
         keyed.join(large, "block", "left")  # a few large blocks are broadcast, many are shuffled and skewed ones split
         .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.coalesce("trees", F.lit(1))).cast("int"))
         .withColumn("tree", F.explode(F.sequence(F.lit(0), F.coalesce("trees", F.lit(1)) - 1)))
-        .select("block", "tree", (F.col("tree") != F.col("own")).cast("int").alias("role"), "fp", "doc_id")
+        .select("block", "tree", (F.col("tree") != F.col("own")).cast("int").alias("role"), "fp", "doc_id", *also)
     )
-    stars = dealt(rows, parallelism(ws.spark), ["block", "tree"], ["block", "tree", "role", "doc_id"]).mapInArrow(_link(radius), "a long, b long")
+    stars = dealt(rows, parallelism(ws.spark), ["block", "tree"], ["block", "tree", "role", "doc_id"]).mapInArrow(_link(radius, wide_bits), "a long, b long")
     return stars
 
 
@@ -265,10 +371,44 @@ def near_groups(docs: DataFrame, **options) -> DataFrame:
     return _components(docs, **options).select("doc_id", "fp", "component_id")
 
 
+def similar_groups(docs: DataFrame, similarity: float = 0.8, radius: int = MEET_RADIUS, block_nodes: int = MEET_NODES, tree_nodes: int = TREE_NODES) -> DataFrame:
+    """(doc_id, digest, component, component_id) for every row: groups of texts linked by both fingerprints.
+
+    Cases are those of the module; texts without a word are one node.
+    """
+    ws = Workspace(docs.sparkSession, "similar")
+    prints = ws.save(fingerprints(docs, MEET_SHINGLE, True, WIDE_SHINGLE), "prints")
+    nodes = prints.groupBy("fp", "wide").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("rows"))
+    nodes = ws.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes", small=True)
+    meeting = ws.save(nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("judged")), "meeting", small=True)
+    met = ws.save(linked_nodes(ws, meeting.select("fp", F.col("fp").alias("doc_id")), radius, block_nodes, tree_nodes), "met")
+    ws.drop("keyed", "sizes")
+    suspects = met.select(F.explode(F.array("a", "b")).alias("fp")).union(meeting.where("judged > 1").select("fp")).distinct()
+    judged = ws.save(nodes.join(suspects, "fp", "left_semi").select("fp", "wide", F.col("node").alias("doc_id")), "judged", small=True)
+    stars = ws.save(linked_nodes(ws, judged, radius, block_nodes, tree_nodes, wide_radius(similarity)), "stars")
+    ws.drop("keyed", "sizes", "met")
+    labels = ws.save(connected_components(ws, stars), "labels", small=True)
+    labelled = ws.save(
+        nodes.join(labels.withColumnRenamed("component", "_least"), "node", "left")
+        .select("fp", "wide", F.coalesce("_least", "node").alias("component"), "least_id", "rows"), "labelled", small=True)
+    least = ws.save(labelled.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("nodes")), "least", small=True)
+    index = ws.save(skew_safe_lookup(labelled.drop("least_id"), least, ["component"], "nodes").drop("nodes"), "index", small=True)
+    return gathered(skew_safe_lookup(prints, index, ["fp", "wide"], "rows")).drop("rows")
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One row of each near-duplicate group of ``docs``: the smallest doc_id and, under that, the smallest digest of the text."""
+    return _first_of_each(docs, _components(docs, digests=True, **options))
+
+
+def keep_similar(docs: DataFrame, similarity: float = 0.8, **options) -> DataFrame:
+    """The same for groups of texts of the similarity or more, by ``similar_groups``."""
+    return _first_of_each(docs, similar_groups(docs, similarity, **options))
+
+
+def _first_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     ws = Workspace(docs.sparkSession, "near")
-    least = _components(docs, digests=True, **options).where("doc_id <=> component_id").groupBy("component", "doc_id", "digest").agg(F.count(F.lit(1)).alias("rows"))
+    least = groups.where("doc_id <=> component_id").groupBy("component", "doc_id", "digest").agg(F.count(F.lit(1)).alias("rows"))
     kept = ws.save(
         least.groupBy("component").agg(F.min(F.struct("digest", "doc_id", "rows")).alias("one"))
         .select(F.col("one.doc_id").alias("_near_id"), F.col("one.digest").alias("_near_digest"), F.col("one.rows").alias("_near_rows")), "kept", small=True)

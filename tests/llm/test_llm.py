@@ -619,6 +619,99 @@ def test_components(spark):
     assert found == {x: label[x] for x in touched}
 
 
+def brute_pair(t: str | None) -> tuple[int, int]:
+    """Both fingerprints of a text, of the distinct hashes of its two-word and its five-word shingles."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    words, out, top = re.findall("[^\x20\x09-\x0d]+", low), [], (1 << 64) - 1
+    for shingle in (2, 5):
+        grams = [" ".join(words[i : i + shingle]) for i in range(len(words) - shingle + 1)] or ([" ".join(words)] if words else [])
+        out.append({xxhash.xxh64_intdigest(g.encode(), 42) for g in grams})
+
+    def mixed(h: int, lane: int) -> int:
+        if lane == 0:
+            return h
+        h = (h + lane * 0x9E3779B97F4A7C15) & top
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & top
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & top
+        return h ^ h >> 31
+
+    fold = lambda hs: sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in hs) > len(hs))
+    return fold(out[0]), sum(fold([mixed(h, lane) for h in out[1]]) << 64 * lane for lane in range(4))
+
+
+def brute_similar(texts_: list[str | None], bits: int) -> list[int]:
+    """For each text the first one of its group."""
+    prints = [brute_pair(t) for t in texts_]
+    label, moved = list(range(len(texts_))), True
+    near = [[j for j, b in enumerate(prints) if (a[0] ^ b[0]).bit_count() <= 8 and (a[1] ^ b[1]).bit_count() <= bits] for a in prints]
+    while moved:
+        moved = False
+        for i, others in enumerate(near):
+            low = min(label[j] for j in others)
+            moved |= low < label[i]
+            label[i] = low
+    return label
+
+
+def similar_rows(n: int, copies: int) -> list[tuple[int | None, str | None]]:
+    """Texts, copies of them with a few words changed or a part left out, and odd cases."""
+    rnd = random.Random(23)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=rnd.randint(2, 6)))
+    out: list[tuple[int | None, str | None]] = [(None, None), (70_000, ""), (70_001, " \n"), (70_002, "a b"), (70_003, "A  b"), (None, "x " * 3000)]
+    for k in range(n):
+        base = [word() for _ in range(rnd.randint(60, 300))]
+        out.append((len(out), " ".join(base)))
+        for _ in range(copies):
+            other = list(base)
+            for _ in range(rnd.randint(0, 1 + len(base) // 60)):
+                other[rnd.randrange(len(other))] = word()
+            if rnd.random() < 0.2:
+                del other[: rnd.randint(1, len(other) // 3)]
+            out.append((rnd.choice([len(out), len(out), 3, None]), " ".join(other)))
+    return out + out[8:12]
+
+
+@pytest.mark.parametrize("block_nodes,tree_nodes", [(64, 20_000), (1, 4), (1024, 5)])
+def test_similar_groups(spark, block_nodes, tree_nodes):
+    rows = similar_rows(6, 12)
+    found = simhash.similar_groups(frame(spark, rows), block_nodes=block_nodes, tree_nodes=tree_nodes).collect()
+    group = brute_similar([t for _, t in rows], simhash.wide_radius(0.8))
+    least = {g: min((i for (i, _), h in zip(rows, group) if h == g and i is not None), default=None) for g in group}
+    assert len(found) == len(rows)
+    assert Counter((r.doc_id, r.digest, r.component_id) for r in found) == Counter(
+        (i, None if t is None else hashlib.sha256(t.encode()).digest(), least[g]) for (i, t), g in zip(rows, group))
+    assert len({r.component for r in found}) == len(set(group)) < len(rows) / 3
+    kept = simhash.keep_similar(frame(spark, rows), block_nodes=block_nodes, tree_nodes=tree_nodes).collect()
+    assert len(kept) == len(set(group)) and Counter(r.doc_id for r in kept) == Counter(least.values())
+
+
+def test_similar_texts_are_found():
+    """Of pairs with a similarity of 0.8 or more nearly all are linked, of pairs under 0.6 hardly any."""
+    rnd, hits = random.Random(31), defaultdict(list)
+    for _ in range(400):
+        base = ["".join(rnd.choices("abcdefgh", k=4)) for _ in range(rnd.randint(80, 400))]
+        other = [w if rnd.random() > 0.04 * (k := rnd.random()) * k else "new" + w for w in base]
+        a, b = (set(zip(*(t[i:] for i in range(5)))) for t in (base, other))
+        same = len(a & b) / len(a | b)
+        x, y = brute_pair(" ".join(base)), brute_pair(" ".join(other))
+        hits[same >= 0.8, same < 0.6].append((x[0] ^ y[0]).bit_count() <= 8 and (x[1] ^ y[1]).bit_count() <= simhash.wide_radius(0.8))
+    assert len(hits[True, False]) > 100 and np.mean(hits[True, False]) > 0.9
+    assert np.mean(hits[False, True] or [0]) < 0.05
+
+
+def test_dense_groups_are_not_visited_in_full(monkeypatch):
+    """3000 nodes within the radius of each other: far fewer visits than pairs, and one group."""
+    rnd = np.random.default_rng(4)
+    fp = np.unique(np.bitwise_xor.reduce(np.uint64(1) << rnd.integers(0, 64, (3, 3000)).astype(np.uint64), axis=0))
+    visits = []
+    count = simhash.distance
+    monkeypatch.setattr(simhash, "distance", lambda a, b: (visits.append(len(a)), count(a, b))[1])
+    forest, label = simhash.BKForest(fp, np.zeros(len(fp), np.int64)), np.arange(len(fp))
+    for q, v in forest.within(fp, np.zeros(len(fp), np.int64), 6, label, np.arange(len(fp))):
+        simhash.join_sets(label, q, v)
+    assert (label == 0).all() and sum(visits) < len(fp) ** 2 / 10
+
+
 def test_keep_one(docs):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
@@ -698,9 +791,8 @@ def test_pipeline_with_odd_rows(spark, sf_dir):
                     groups[SPACE.sub(" ", t or "")].append(d)
                 assert Counter((d, SPACE.sub(" ", t or "")) for d, t in left.elements()) == Counter((min((d for d in g if d is not None), default=None), t) for t, g in groups.items())
             elif i == 2:
-                prints = {t: brute_print(t) for _, t in pairs}
-                parts = brute_components({k: p for k, p in enumerate(prints.values())}, 4)
-                part = dict(zip(prints, (parts[k] for k in range(len(prints)))))
+                distinct = list(dict.fromkeys(t for _, t in pairs))
+                part = dict(zip(distinct, brute_similar(distinct, simhash.wide_radius(0.8))))
                 least = {c: min((d for d, t in pairs if part[t] == c and d is not None), default=None) for c in set(part.values())}
                 assert sum(left.values()) == len(left) == len(least) and all(least[part[t]] == d for d, t in left)
             elif i == 3:
@@ -725,7 +817,7 @@ def test_ranked_sums(spark):
 
 @pytest.mark.parametrize("run", [
     lambda d: exact_dedup.find_copies(d), lambda d: exact_dedup.deduplicate(d), lambda d: quality.judge(d), lambda d: quality.keep_good(d), lambda d: substring_dedup.remove_repeats(d), lambda d: suffix_dedup.remove_repeats(d),
-    lambda d: sharding.shard_rows(d), lambda d: mixing.plan(d), lambda d: mixing.mix(d), lambda d: simhash.near_groups(d), lambda d: simhash.keep_one(d), lambda d: bpe.encode_decode(d, queries.tokenizer_path())])
+    lambda d: sharding.shard_rows(d), lambda d: mixing.plan(d), lambda d: mixing.mix(d), lambda d: simhash.near_groups(d), lambda d: simhash.keep_one(d), lambda d: simhash.similar_groups(d), lambda d: simhash.keep_similar(d), lambda d: bpe.encode_decode(d, queries.tokenizer_path())])
 def test_empty_table(docs, run):
     assert run(docs.limit(0)).count() == 0
 
@@ -757,7 +849,8 @@ def test_pipeline(spark, sf_dir):
     pairs = lambda df: [(r.doc_id, r.text) for r in df.collect()]
     assert ids(seen[0][1]) == ids(quality.judge(seen[0][0]).where("kept"))
     assert set(ids(seen[1][1])) == {i for i, (k, _) in exact_wanted(pairs(seen[1][0])).items() if i == k}
-    wanted = brute_components({i: brute_print(t) for i, t in pairs(seen[2][0])}, 4)
-    assert set(ids(seen[2][1])) == set(wanted.values())
+    texts_ = sorted(pairs(seen[2][0]))
+    wanted = brute_similar([t for _, t in texts_], simhash.wide_radius(0.8))
+    assert set(ids(seen[2][1])) == {texts_[i][0] for i in wanted}
     assert ids(seen[3][1]) == {r.doc_id: len(r.draws) for r in mixing.plan(seen[3][0]).collect() if r.draws}
     assert ids(seen[4][1]) == ids(seen[3][1]) and {"doc_id", "ids", "n_tokens"} <= set(seen[4][1].columns)
