@@ -29,8 +29,10 @@ doc_ids are told apart by their texts; very long texts are hashed in bounded pie
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterable, Iterator
-from itertools import combinations
+from functools import reduce
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,8 @@ MEET_SHINGLE, MEET_RADIUS, WIDE_SHINGLE, LANES = 2, 8, 5, 4
 BLOCK_NODES, TREE_NODES, VISITS, PIECE = 1024, 20_000, 1 << 20, 1 << 16
 #: Expected nodes of a block at the larger radius: more keys cost less there than more candidates.
 MEET_NODES = 64
+#: Keys of a node that are written at a time.
+KEYS_AT_ONCE = 64
 _LAST = (1 << 63) - 1
 
 
@@ -160,12 +164,12 @@ def block_scheme(nodes: int, radius: int, block_nodes: int = BLOCK_NODES) -> tup
     return radius + agree, agree
 
 
-def block_keys(fp, pieces: int, agree: int):
-    """An array of keys: for each choice of pieces, a hash of the choice and the fingerprint's bits there."""
+def block_keys(fp, pieces: int, agree: int, first: int = 0, most: int | None = None):
+    """An array of keys: for each choice of pieces, or ``most`` from the ``first`` on, a hash of the choice and the fingerprint's bits there."""
     cuts = [round(64 * i / pieces) for i in range(pieces + 1)]
     masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:])]
     keys = []
-    for i, choice in enumerate(combinations(masks, agree)):
+    for i, choice in islice(enumerate(combinations(masks, agree)), first, None if most is None else first + most):
         mask = sum(choice)
         keys.append(F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))))
     return F.array(*keys)
@@ -324,15 +328,30 @@ def _link(radius: int, wide_bits: int | None):
     return scan
 
 
-def linked_nodes(ws: Workspace, nodes: DataFrame, radius: int = RADIUS, block_nodes: int = BLOCK_NODES, tree_nodes: int = TREE_NODES, wide_bits: int | None = None) -> DataFrame:
+def linked_nodes(
+    ws: Workspace, nodes: DataFrame, radius: int = RADIUS, block_nodes: int = BLOCK_NODES, tree_nodes: int = TREE_NODES, wide_bits: int | None = None,
+    keys_at_once: int = KEYS_AT_ONCE) -> DataFrame:
     """(a, b): stars of ids that connect all nodes (fp, doc_id) linked within the radius, over all blocks.
 
-    With ``wide_bits`` nodes have a wide fingerprint too, which links must hold within so many bits.
+    With ``wide_bits`` nodes have a wide fingerprint too, which links must hold within so many bits.  Keys are written
+    ``keys_at_once`` a node at a time, and dropped before the next, so the disk that they take doesn't grow with the number of keys.
     """
     also = [] if wide_bits is None else ["wide"]
-    total = nodes.count()
-    pieces, agree = block_scheme(total, radius, block_nodes)
-    keyed = ws.save(nodes.select(F.explode(block_keys(F.col("fp"), pieces, agree)).alias("block"), "fp", "doc_id", *also), "keyed")
+    pieces, agree = block_scheme(nodes.count(), radius, block_nodes)
+    turns = range(0, math.comb(pieces, agree), keys_at_once)
+    found = []
+    for turn, first in enumerate(turns):
+        keys = block_keys(F.col("fp"), pieces, agree, first, keys_at_once)
+        keyed = ws.save(nodes.select(F.explode(keys).alias("block"), "fp", "doc_id", *also), "keyed")
+        stars = _blocks(ws, keyed, radius, tree_nodes, wide_bits, also)
+        if len(turns) > 1:
+            stars = ws.save(stars, f"turn-{turn}-{uuid.uuid4().hex}", small=True)
+            ws.drop("keyed", "sizes")
+        found.append(stars)
+    return reduce(DataFrame.union, found)
+
+
+def _blocks(ws: Workspace, keyed: DataFrame, radius: int, tree_nodes: int, wide_bits: int | None, also: list[str]) -> DataFrame:
     sizes = ws.save(keyed.groupBy("block").agg(F.count(F.lit(1)).alias("size")), "sizes", small=True)
     rows = sizes.agg(F.sum("size")).first()[0] or 0
     large = sizes.where(F.col("size") > tree_nodes).select("block", F.ceil(F.col("size") / tree_nodes).cast("int").alias("trees"))
@@ -345,8 +364,7 @@ def linked_nodes(ws: Workspace, nodes: DataFrame, radius: int = RADIUS, block_no
         .withColumn("tree", F.explode(F.sequence(F.lit(0), F.coalesce("trees", F.lit(1)) - 1)))
         .select("block", "tree", (F.col("tree") != F.col("own")).cast("int").alias("role"), "fp", "doc_id", *also)
     )
-    stars = dealt(rows, parallelism(ws.spark), ["block", "tree"], ["block", "tree", "role", "doc_id"]).mapInArrow(_link(radius, wide_bits), "a long, b long")
-    return stars
+    return dealt(rows, parallelism(ws.spark), ["block", "tree"], ["block", "tree", "role", "doc_id"]).mapInArrow(_link(radius, wide_bits), "a long, b long")
 
 
 def _components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, block_nodes: int = BLOCK_NODES, tree_nodes: int = TREE_NODES, digests: bool = False) -> DataFrame:

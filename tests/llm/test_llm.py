@@ -583,15 +583,15 @@ def test_simhash(docs):
     assert {r.doc_id: (r.fp % (1 << 64), r.component_id) for r in found} == {i: (prints[i], wanted[i]) for i in prints}
 
 
-@pytest.mark.parametrize("block_nodes,tree_nodes", [(1024, 20_000), (1, 20_000), (0.01, 3), (1024, 3)])
-def test_links(spark, block_nodes, tree_nodes):
+@pytest.mark.parametrize("block_nodes,tree_nodes,keys_at_once", [(1024, 20_000, 64), (1, 20_000, 2), (0.01, 3, 64), (0.01, 3, 9), (1024, 3, 1)])
+def test_links(spark, block_nodes, tree_nodes, keys_at_once):
     rnd = random.Random(8)
     base = [rnd.getrandbits(64) for _ in range(4)]
     values = sorted({b ^ sum(1 << k for k in rnd.sample(range(64), rnd.randint(0, 5))) for b in base for _ in range(30)})
     prints = dict(enumerate(values))
     ws = common.Workspace(spark, "t")
     nodes = ws.save(spark.createDataFrame([(v - (1 << 64) if v >> 63 else v, i) for i, v in prints.items()], "fp long, doc_id long"), "nodes")
-    stars = ws.save(simhash.linked_nodes(ws, nodes, 4, block_nodes, tree_nodes), "stars")
+    stars = ws.save(simhash.linked_nodes(ws, nodes, 4, block_nodes, tree_nodes, keys_at_once=keys_at_once), "stars")
     label = {r.node: r.component for r in common.connected_components(ws, stars).collect()}
     assert {i: label.get(i, i) for i in prints} == brute_components(prints, 4)
 
