@@ -17,6 +17,15 @@ from ..functions.hashes import agreed, hamming, packed, piece_keys, piece_scheme
 from ..sources.store import Tables
 
 
+def by_shuffle(rows: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast, however small Spark takes it to be.
+
+    Its guess is the size of packed files, and for keys made by a generator that of the rows they are made from; the real
+    size may be a hundred times that, and the driver would have to hold it.
+    """
+    return rows.hint("merge")
+
+
 def exact(items: DataFrame) -> DataFrame:
     """(path, fingerprint, keep_path, copies): of equal fingerprints the best by quality, then path, stays."""
     best = items.groupBy("fingerprint").agg(F.min(F.struct((-F.col("quality")).alias("q"), "path")).alias("b"), F.count(F.lit(1)).alias("copies"))
@@ -33,7 +42,7 @@ def close_hashes(hashes: DataFrame, radius: int) -> DataFrame:
     left, right = keyed.select("pick", "part", "below", F.col("h").alias("x")), keyed.select("pick", "part", F.col("h").alias("y"))
     differ = F.col("x").bitwiseXOR(F.col("y"))
     first = agreed(differ, pieces).bitwiseAND(F.col("below")) == F.col("pick")
-    pairs = left.join(right, ["pick", "part"]).where("x < y").where(F.bit_count(differ) <= radius).where(first)
+    pairs = left.join(by_shuffle(right), ["pick", "part"]).where("x < y").where(F.bit_count(differ) <= radius).where(first)
     x, y = unpacked(F.col("x")), unpacked(F.col("y"))
     return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
@@ -49,7 +58,8 @@ def hamming_pairs(items: DataFrame, key: str, radius: int) -> DataFrame:
     tables = Tables(items.sparkSession, "pairs")
     heads = tables.save(items.where("hash <> ''").groupBy("hash").agg(F.min(key).alias("id")), "heads")
     close = tables.save(close_hashes(heads.select("hash"), radius), "close")  # its size is known only when it is written
-    both = close.join(heads.select(F.col("hash").alias("a"), F.col("id").alias("p")), "a").join(heads.select(F.col("hash").alias("b"), F.col("id").alias("q")), "b")
+    side = lambda h, k: by_shuffle(heads.select(F.col("hash").alias(h), F.col("id").alias(k)))
+    both = close.join(side("a", "p"), "a").join(side("b", "q"), "b")
     return both.select(F.least("p", "q").alias("left_id"), F.greatest("p", "q").alias("right_id"), hamming(F.col("a"), F.col("b")).alias("distance"))
 
 

@@ -15,6 +15,7 @@ from gleaner.operators import calibration, duplicates, gates, matching, progress
 from gleaner.plans import curation
 from gleaner.plans.policy import PROFILES, Choice, Limits, Policy, named
 from gleaner.sources import cache, files, journal, reports
+from gleaner.sources.store import Tables
 
 
 def test_policy_rules():
@@ -50,6 +51,23 @@ def test_close_hashes_brute_force(spark, radius):
     assert found == wanted
 
 
+def _broadcasts(monkeypatch, run):
+    """How many broadcast joins are planned in the result of ``run`` and in all tables that it writes."""
+    plans, save = [], Tables.save
+    plan = lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString())
+    monkeypatch.setattr(Tables, "save", lambda self, df, name: (plan(df), save(self, df, name))[1])
+    plan(run())
+    assert any("SortMergeJoin" in x for x in plans)
+    return sum(x.count("BroadcastHashJoin") + x.count("BroadcastNestedLoopJoin") for x in plans)
+
+
+def test_hamming_pairs_broadcast_nothing(spark, tmp_path, monkeypatch):
+    spark.range(500).select(F.col("id").alias("doc_id"), F.substring(F.md5(F.col("id").cast("string")), 1, 16).alias("hash")).write.parquet(f"file://{tmp_path}/items")
+    df = spark.read.parquet(f"file://{tmp_path}/items")  # 45 keys a hash come from a file of a few KB
+    assert _broadcasts(monkeypatch, lambda: duplicates.close_hashes(df.select("hash"), 8)) == 0
+    assert _broadcasts(monkeypatch, lambda: duplicates.hamming_pairs(df, "doc_id", 8)) == 0
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_near_is_the_sequential_scan(spark, seed):
     rnd = random.Random(seed)
