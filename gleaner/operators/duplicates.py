@@ -79,35 +79,35 @@ def near(items: DataFrame, radius: int | None) -> DataFrame:
         owner = nodes.select("fingerprint", "rows", F.col("fingerprint").alias("rep"))
     else:
         classes = tables.save(nodes.where("hash <> ''").groupBy("hash").agg(F.min("rank").alias("rank"), F.min_by("fingerprint", "rank").alias("head")), "classes")
-        lead = classes.join(_representatives(tables, classes, radius), "hash", "left").select("hash", F.coalesce("lead", "hash").alias("lead"))
-        led = lead.join(classes.select(F.col("hash").alias("lead"), F.col("head").alias("rep")), "lead").select("hash", "rep")
-        owner = nodes.join(led, "hash", "left").select("fingerprint", "rows", F.coalesce("rep", "fingerprint").alias("rep"))
+        lead = classes.join(by_shuffle(_representatives(tables, classes, radius)), "hash", "left").select("hash", F.coalesce("lead", "hash").alias("lead"))
+        led = lead.join(by_shuffle(classes.select(F.col("hash").alias("lead"), F.col("head").alias("rep"))), "lead").select("hash", "rep")
+        owner = nodes.join(by_shuffle(led), "hash", "left").select("fingerprint", "rows", F.coalesce("rep", "fingerprint").alias("rep"))
     owner = tables.save(owner, "owner")
     sizes = owner.groupBy("rep").agg(F.sum("rows").alias("size"))
-    placed = ranked.join(owner.select("fingerprint", "rep"), "fingerprint").join(heads.join(sizes, "rep"), "rep")
+    placed = ranked.join(by_shuffle(owner.select("fingerprint", "rep")), "fingerprint").join(by_shuffle(heads.join(by_shuffle(sizes), "rep")), "rep")
     return placed.select("path", F.when(F.col("path") != F.col("rep_path"), F.col("rep_path")).alias("duplicate_of"), F.when(F.col("size") > 1, F.col("rep")).alias("group_id"))
 
 
 def _representatives(tables: Tables, classes: DataFrame, radius: int) -> DataFrame:
     """(hash, lead): for each hash that is no representative's the hash of its representative; ``classes``: hash, rank."""
     pairs = tables.save(close_hashes(classes.select("hash"), radius), "close")
-    side = lambda n: classes.select(F.col("hash").alias("ab"[n]), F.col("rank").alias(f"rank_{'ab'[n]}"))
+    side = lambda n: by_shuffle(classes.select(F.col("hash").alias("ab"[n]), F.col("rank").alias(f"rank_{'ab'[n]}")))
     ranked = pairs.join(side(0), "a").join(side(1), "b")
     earlier = F.col("rank_a") < F.col("rank_b")
     pick = lambda x, y: F.when(earlier, F.col(x)).otherwise(F.col(y))
     edges = tables.save(ranked.select(pick("a", "b").alias("u"), pick("b", "a").alias("v"), pick("rank_a", "rank_b").alias("u_rank")), "edges")
     open_, out, step = edges.select("u", "v"), None, 0
     while not open_.isEmpty():
-        heads = open_.select("u").distinct().join(open_.select(F.col("v").alias("u")).distinct(), "u", "left_anti")
+        heads = by_shuffle(open_.select("u").distinct().join(by_shuffle(open_.select(F.col("v").alias("u")).distinct()), "u", "left_anti"))
         gone = tables.save(open_.join(heads, "u").select("v").distinct(), f"gone-{step}")
         out = gone if out is None else out.union(gone)
-        left = open_.join(heads, "u", "left_anti").join(gone.select(F.col("v").alias("u")), "u", "left_anti").join(gone, "v", "left_anti")
+        left = open_.join(heads, "u", "left_anti").join(by_shuffle(gone.select(F.col("v").alias("u"))), "u", "left_anti").join(by_shuffle(gone), "v", "left_anti")
         open_ = tables.save(left.select("u", "v"), f"open-{step}")
         step += 1
     if out is None:
         return classes.select("hash", F.col("hash").alias("lead")).limit(0)
-    heads = edges.join(out.select(F.col("v").alias("u")), "u", "left_anti")
-    return heads.join(out, "v").groupBy(F.col("v").alias("hash")).agg(F.min_by("u", "u_rank").alias("lead"))
+    heads = edges.join(by_shuffle(out.select(F.col("v").alias("u"))), "u", "left_anti")
+    return heads.join(by_shuffle(out), "v").groupBy(F.col("v").alias("hash")).agg(F.min_by("u", "u_rank").alias("lead"))
 
 
 def peers(items: DataFrame, path: str) -> DataFrame:

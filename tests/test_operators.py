@@ -68,6 +68,13 @@ def test_hamming_pairs_broadcast_nothing(spark, tmp_path, monkeypatch):
     assert _broadcasts(monkeypatch, lambda: duplicates.hamming_pairs(df, "doc_id", 8)) == 0
 
 
+@pytest.mark.parametrize("radius", [8, None])
+def test_near_broadcasts_nothing(spark, monkeypatch, radius):
+    i = F.col("id")
+    df = spark.range(300).select(i.cast("string").alias("path"), (i % 200).cast("string").alias("fingerprint"), F.lpad(F.hex(i % 200), 16, "0").alias("hash"), F.lit(0.5).alias("quality"))
+    assert _broadcasts(monkeypatch, lambda: duplicates.near(df, radius)) == 0
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_near_is_the_sequential_scan(spark, seed):
     rnd = random.Random(seed)
