@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import hashes, scalars, vectors
 from gleaner.operators import calibration, duplicates, gates, matching, progress, review, selection
-from gleaner.plans import curation
+from gleaner.plans import catalogue, curation
 from gleaner.plans.policy import PROFILES, Choice, Limits, Policy, named
 from gleaner.sources import cache, files, journal, reports
 from gleaner.sources.store import Tables
@@ -75,6 +75,14 @@ def test_near_broadcasts_nothing(spark, monkeypatch, radius):
     assert _broadcasts(monkeypatch, lambda: duplicates.near(df, radius)) == 0
 
 
+def test_duplicate_peers_keys_are_not_broadcast(spark, sf_dir, monkeypatch):
+    plans, save = {}, Tables.save
+    monkeypatch.setattr(Tables, "save", lambda self, df, name: (plans.update({name: df._jdf.queryExecution().sparkPlan().toString()}), save(self, df, name))[1])
+    assert catalogue.duplicate_peers(spark, sf_dir).count() > 0
+    for name in ("close", "edges"):
+        assert "SortMergeJoin" in plans[name] and "Broadcast" not in plans[name]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_near_is_the_sequential_scan(spark, seed):
     rnd = random.Random(seed)
