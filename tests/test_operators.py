@@ -83,6 +83,20 @@ def test_duplicate_peers_keys_are_not_broadcast(spark, sf_dir, monkeypatch):
         assert "SortMergeJoin" in plans[name] and "Broadcast" not in plans[name]
 
 
+def test_duplicate_peers_hashes_documents_once(spark, sf_dir, monkeypatch):
+    plans, save = [], Tables.save
+    monkeypatch.setattr(Tables, "save", lambda self, df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), save(self, df, name))[1])
+    assert catalogue.duplicate_peers(spark, sf_dir).count() > 0
+    assert sum(x.count("explode(split(") for x in plans) == 1
+
+
+def test_duplicate_peers_repeated_rows(spark, tmp_path):
+    rows = [(1, "one two three", "web"), (2, "one two three", "web"), (2, "one two three", "web"), (3, " ".join(f"w{i}" for i in range(300)), "web")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    found = catalogue.duplicate_peers(spark, f"file://{tmp_path}").collect()
+    assert sorted(map(tuple, found)) == [("web/00000002", "rejected")] * 2
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_near_is_the_sequential_scan(spark, seed):
     rnd = random.Random(seed)
