@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, binary_list, flat_bytes, in_batches
+from .common import Workspace, binary_list, flat_bytes, in_batches, let_go
 from .windows import _BASE, _mix, word_bounds, word_codes
 
 COMMON_SHARE, COMMON_WORDS = 0.004, 48
@@ -105,6 +105,9 @@ def base_counts(raw: np.ndarray, at: np.ndarray, texts: list[bytes], cut: list[l
     }
 
 
+#: Bytes of text that are counted at once: sums over them take some twenty times that.
+SLICE = 1 << 20
+
 CANDIDATES = "lang string, word binary, n long, total long"
 #: Distinct words that a task counts before it hands them on and starts anew.
 COUNTED_WORDS = 500_000
@@ -121,8 +124,9 @@ def _candidates(share: float, most: int = COUNTED_WORDS):
                 pa.array([lang] * len(words), pa.string()), pa.array(words, pa.binary()), pa.array([total, *(own[w] for w in words[1:])], pa.int64()), pa.array([total] * len(words), pa.int64())], ["lang", "word", "n", "total"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         counts: dict[str | None, Counter] = defaultdict(Counter)
-        for batch in in_batches(batches, "text"):
+        for batch in in_batches(batches, "text", SLICE):
             for lang, text in zip(batch.column("lang").to_pylist(), binary_list(batch.column("text"))):
                 counts[lang].update(text.lower().split())
             if sum(map(len, counts.values())) > most:
@@ -151,8 +155,9 @@ def _count(words_of: dict[str | None, set[bytes]]):
     """Exact counts for each language: named words, all words (name: empty) and character classes (name: a digit after a zero byte)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         counts: dict[str | None, Counter] = defaultdict(Counter)
-        for batch in in_batches(batches, "text"):
+        for batch in in_batches(batches, "text", SLICE):
             langs, texts = batch.column("lang").to_pylist(), binary_list(batch.column("text"))
             classes = class_counts(*flat_bytes(batch.column("text")))
             for lang, text, row in zip(langs, texts, classes.tolist()):
@@ -209,7 +214,7 @@ SCORES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 
 def _score(known: dict[str | None, Reference], limits: tuple[float, float]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_batches(batches, "text", 4 << 20):
+        for batch in in_batches(batches, "text", SLICE):
             texts, langs = binary_list(batch.column("text")), batch.column("lang").to_pylist()
             raw, at = flat_bytes(batch.column("text"))
             cut = [t.split() for t in texts]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Workspace, binary_list, in_batches, parallelism
+from .common import CACHES, Workspace, binary_list, in_batches, parallelism
 from .pieces import LETTERS, spaced
 
 END_ID = 2
@@ -117,6 +117,8 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+CACHES.append(encoder.cache_clear)
+
 TOKENS = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
 

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -194,6 +195,27 @@ def test_quality_parts_good_from_poor(spark):
     assert np.mean(good) > 0.995 and np.mean(poor) < 0.35
 
 
+def test_quality_empties_other_caches():
+    text = pa.record_batch({"lang": ["en"], "text": ["some words"]})
+    for scan in (quality._candidates(0.01), quality._count({"en": {b"some"}})):
+        bpe.codec(queries.tokenizer_path()).words([b"some words"])
+        assert bpe.codec.cache_info().currsize == 1
+        assert sum(b.num_rows for b in scan(iter([text]))) > 0
+        assert bpe.codec.cache_info().currsize == 0
+
+
+def test_quality_memory_of_a_large_batch():
+    import tracemalloc
+
+    batch = pa.record_batch({"lang": ["en"] * 400, "text": ["ten chars " * 1000] * 400})  # 4 MB, what Spark hands over at once
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in quality._count({"en": {b"ten"}})(iter([batch]))) == 2 + quality.CLASSES
+        assert tracemalloc.get_traced_memory()[1] < 50 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_quality_keep(docs):
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns
