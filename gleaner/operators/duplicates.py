@@ -118,6 +118,6 @@ def _representatives(tables: Tables, classes: DataFrame, radius: int) -> DataFra
 
 def peers(items: DataFrame, path: str) -> DataFrame:
     """Other items of an item's duplicate group: selected first, then quality descending, then path."""
-    group = items.where(F.col("path") == path).select(F.col("duplicate_group").alias("duplicate_group"))
-    found = items.join(F.broadcast(group.limit(1)), "duplicate_group").where(F.col("path") != path)
+    own = items.where(F.col("path") == path).agg(F.min("duplicate_group")).first()[0]  # one row reaches the driver; nothing is joined or broadcast
+    found = items.where(F.col("duplicate_group") == F.lit(own)).where(F.col("path") != path)
     return found.orderBy(F.when(F.col("category") == "selected", 0).otherwise(1), F.desc("quality"), "path")

@@ -97,6 +97,17 @@ def test_duplicate_peers_repeated_rows(spark, tmp_path):
     assert sorted(map(tuple, found)) == [("web/00000002", "rejected")] * 2
 
 
+def test_duplicate_peers_result_broadcasts_nothing(spark, sf_dir):
+    assert "Broadcast" not in catalogue.duplicate_peers(spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_peers_of_one_item(spark):
+    rows = [("a", 0.5, "g", "rejected"), ("b", 0.9, "g", "rejected"), ("c", 0.1, "g", "selected"), ("d", 0.9, "h", "selected"), ("e", 0.2, None, "selected"), ("f", 0.3, None, "selected")]
+    df = spark.createDataFrame(rows, "path string, quality double, duplicate_group string, category string")
+    assert [r.path for r in duplicates.peers(df, "a").collect()] == ["c", "b"]
+    assert [duplicates.peers(df, x).count() for x in ("d", "e", "missing", None)] == [0] * 4
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_near_is_the_sequential_scan(spark, seed):
     rnd = random.Random(seed)
